@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnset.llm import encode, mixing, splitting
+from cairnset.llm import encode, mixing, splitting, survivors
 from cairnset.sources.tables import table
 
 
+def _merge_tables(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("merges", "claims", "tools", "void_terms")]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors.merge_survivors(*_merge_tables(spark, d))
+
+
+def p2_layers(spark: SparkSession, d: str) -> DataFrame:
+    layers = survivors.dominance_layers(survivors.group_points(*_merge_tables(spark, d)))
+    return layers.select("merge_key", "claim_ord", "layer")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -33,7 +46,30 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
+TRIM = "' ' || chr(9) || chr(10) || chr(13)"
+
+P2_SQL = f"""WITH ids AS (
+  SELECT DISTINCT merge_key, trim(x, {TRIM}) AS claim_id FROM (SELECT merge_key, unnest(claim_ids) AS x FROM merges)
+  WHERE merge_key IS NOT NULL AND trim(x, {TRIM}) <> ''),
+titles AS (
+  SELECT DISTINCT merge_key, trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t
+  FROM (SELECT merge_key, unnest(titles) AS x FROM merges)),
+members AS (
+  SELECT merge_key, claim_ord, recorded_at, trim(title, {TRIM}) AS title, trim(weakness, {TRIM}) AS weakness,
+         trim(severity, {TRIM}) AS severity, coalesce(tools.trust, 0) AS trust
+  FROM ids JOIN claims USING (claim_id) LEFT JOIN tools ON lower(trim(claims.tool, {TRIM})) = tools.tool),
+vals AS (
+  SELECT merge_key, claim_ord, recorded_at, trust, 'title' AS field_name, title AS v FROM members m
+  WHERE EXISTS (FROM titles WHERE titles.merge_key = m.merge_key AND t = regexp_replace(m.title, '[ \\t\\r\\n]+', ' ', 'g'))
+  UNION ALL SELECT merge_key, claim_ord, recorded_at, trust, 'weakness', weakness FROM members
+  UNION ALL SELECT merge_key, claim_ord, recorded_at, trust, 'severity', severity FROM members)
+SELECT merge_key, field_name, claim_ord FROM vals
+WHERE v <> '' AND lower(v) NOT IN (SELECT term FROM void_terms)
+QUALIFY row_number() OVER (PARTITION BY merge_key, field_name ORDER BY trust DESC, recorded_at DESC NULLS LAST, claim_ord) = 1"""
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_layers": p2_layers,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p7_mix": p7_mix,
@@ -41,4 +77,4 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p2_found": P2_SQL}
