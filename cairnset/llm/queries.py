@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnset.llm import encode, mixing, splitting, survivors
+from cairnset.llm import encode, mixing, nearduplicates, splitting, survivors
 from cairnset.sources.tables import table
 
 
@@ -22,6 +22,11 @@ def p2_layers(spark: SparkSession, d: str) -> DataFrame:
     return layers.select("merge_key", "claim_ord", "layer")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = nearduplicates.all_pairs(*nearduplicates.similar_claims(table(spark, d, "claims")))
+    return pairs.select(F.col("a").alias("claim_ord_a"), F.col("b").alias("claim_ord_b"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -70,6 +75,7 @@ QUALIFY row_number() OVER (PARTITION BY merge_key, field_name ORDER BY trust DES
 QUERIES = {
     "p2_found": p2_found,
     "p2_layers": p2_layers,
+    "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p7_mix": p7_mix,
