@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnset.llm import encode, mixing, nearduplicates, splitting, survivors
+from cairnset.llm import encode, incremental, mixing, nearduplicates, splitting, survivors
 from cairnset.sources.tables import table
 
 
@@ -27,6 +27,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("claim_ord_a"), F.col("b").alias("claim_ord_b"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.repeated_entries(table(spark, d, "intake_entries"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"), "doc_id", "text")
 
@@ -76,6 +80,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_layers": p2_layers,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p7_mix": p7_mix,
