@@ -44,14 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files.
+    """Write ``df`` as a table in the shared folder and go on from its files.
 
     Used where a frame is read more than once and recomputing it would repeat
     costly work, or where a loop would grow the plan without end. The files
-    survive the loss of any executor.
+    survive the loss of any executor, are read by column, and tell the planner
+    their size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
