@@ -78,14 +78,33 @@ def _numbered(found: Column, branch: str, branch_no: int) -> Column:
     )
 
 
+def parse_whole(payload: Column) -> Column:
+    """The VARIANT of a text that is valid JSON as a whole; null for anything else.
+
+    Spark's parser stops after the first value and ignores what follows. So the
+    text is parsed as the first of two elements, the second a hash of the text
+    that the text itself cannot hold: only if both come back is it whole. An
+    object that repeats a key counts as invalid.
+    """
+    mark = F.md5(payload)
+    parsed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit(',"'), mark, F.lit('"]')))
+
+    def first(both: Column) -> Column:
+        whole = (F.try_variant_get(both, "$[1]", "string") == mark) & F.try_variant_get(both, "$[2]", "variant").isNull()
+        return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+
+    # A lambda's argument is computed once, wherever the optimizer moves the expression.
+    return F.get(F.transform(F.array(parsed), first), F.lit(0))
+
+
 def parse_documents(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
-    """Root nodes: payloads that are valid JSON as a whole with an object on top.
+    """Root nodes; payloads that are not valid JSON as a whole have a null one.
 
     Null, blank, truncated and otherwise invalid payloads, and roots that are no
-    object, are left out.
+    object, have no members, so they give no rows to any table. They are not
+    filtered here: a filter would parse each payload once more.
     """
-    parsed = df.select(*keys, F.try_parse_json(F.col(payload)).alias("node"))
-    return parsed.where(is_object(F.col("node"))).withColumn("label", F.array().cast("array<int>"))
+    return df.select(*keys, parse_whole(F.col(payload)).alias("node"), F.array().cast("array<int>").alias("label"))
 
 
 def shred(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> dict[str, DataFrame]:
