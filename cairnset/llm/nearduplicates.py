@@ -4,100 +4,115 @@ Records are sets of word shingles. Each set is embedded once into COORDINATES
 MinHash values; two sets agree on one with probability equal to their Jaccard
 similarity. A run sends every set into the bucket named by one sampled value, a
 token that the members of the bucket share. Buckets of at most BUCKET sets are
-compared by brute force; larger ones are split again on further sampled values,
-each chosen for that bucket, up to LEVELS times. Runs are repeated until a pair
-at the threshold is met with the target recall. Pairs that meet are screened by
-a 256-bit sketch inside the join and verified exactly on their texts.
+compared by brute force; larger ones are split again on further values sampled
+for that bucket, which are taken from the set's 256-bit sketch (4 bits of each
+MinHash value), up to LEVELS times. Runs are repeated until a pair at the
+threshold is met with the target recall. Pairs that meet are screened by the
+sketch inside the join and verified exactly on their texts.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnset.session import cut
 
 COORDINATES = 64  #: MinHash values per set; each gives 4 bits of the sketch
-PATH_COORDINATES = 24  #: the first of them name buckets
-BUCKET = 64  #: a bucket of at most so many sets is compared by brute force
-FANOUT = 3  #: values sampled in each bucket that is split again
+MOST_RUNS = 24  #: of the values, at most so many name the buckets of runs; the others split large buckets
+BUCKET = 1024  #: a bucket of at most so many sets is compared by brute force
+HOT_BUCKETS = 10_000  #: at most so many buckets are split before their rows are brought together
+FANOUT = 4  #: pairs of values sampled in each bucket that is split again
 LEVELS = 4  #: splits of a bucket at most; what is left then is compared by brute force
-TARGET_RECALL = 0.995  #: of pairs exactly at the threshold, for buckets split once more
+TARGET_RECALL = 0.98  #: of pairs exactly at the threshold whose bucket is split once more in every run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
 EXPANDED = 1_000  #: groups of more exact copies are given as links to their first record
 
-WORDS = "[a-z0-9]+"  #: fixed value: a word of a lower-cased text
+WORD = re.compile("[a-z0-9]+")  #: fixed value: a word of a lower-cased text
+WORDS_KEPT = 300_000  #: word hashes kept per task; speed only
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text in order; null gives null."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+class WordHashes(dict):
+    """64-bit hash by word, computed on first use."""
 
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, wherever the optimizer moves the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def mix(x: np.ndarray, salt: int) -> np.ndarray:
+    """Scrambles 64-bit values."""
+    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def shingles_of(words: Column, size: int) -> Column:
-    """The distinct hashes of all runs of ``size`` words."""
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    parts = lambda i: [F.element_at(words, i + k if k else i) for k in range(size)]
-    runs = F.transform(starts, lambda i: F.xxhash64(*parts(i)))
-    return F.when(F.size(words) >= size, F.array_distinct(runs))
 
+def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame:
+    """Texts (id, text) become id, seq_a and seq_b (a hash of the words in order), mins of each run, and the sketch s0 to s3.
 
-def embed(df: DataFrame) -> DataFrame:
-    """``id`` and ``shingles`` become id, set_a and set_b (a hash of the set), mins and the sketch s0 to s3.
-
-    Rows without shingles are left out here; a filter before would cut the texts twice.
+    Texts of fewer than ``least_words`` words, null and empty ones among them,
+    are left out. Whole texts are read once, in Arrow batches.
     """
-
-    def mix(x: np.ndarray, salt: int) -> np.ndarray:
-        x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
-
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    names = ["id", "set_a", "set_b", "mins", "s0", "s1", "s2", "s3"]
+    names = ["id", "seq_a", "seq_b", "mins", "s0", "s1", "s2", "s3"]
+    least = max(least_words, size)
 
-    def some(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        base = mix(flat, 0)
+    def some(codes: list[int], ends: list[int]) -> tuple[np.ndarray, ...]:
+        flat = np.array(codes, dtype=np.uint64)
+        stops = np.array(ends)
+        starts = np.r_[0, stops[:-1]]
+        place = (np.arange(len(flat)) - np.repeat(starts, stops - starts)).astype(np.uint64)
+        ordered = flat + place * np.uint64(0xD1342543DE82EF95)
+        runs_of_words = np.r_[flat, np.zeros(size, np.uint64)]
+        shingles = runs_of_words[: len(flat)].copy()
+        for k in range(1, size):
+            shingles = shingles * np.uint64(0x9FB21C651E98DF25) + runs_of_words[k : k + len(flat)]
+        # Every other segment holds the runs that would reach into the next text.
+        segments = np.column_stack([starts, stops - size + 1]).ravel() if size > 1 else starts
+        step = 2 if size > 1 else 1
+        base = mix(shingles, 0)
         mins = np.empty((len(starts), COORDINATES), dtype=np.uint32)
         for k in range(COORDINATES):
-            mins[:, k] = np.minimum.reduceat(((base * factors[k]) >> np.uint64(32)).astype(np.uint32), starts)
-        return np.bitwise_xor.reduceat(base, starts), np.add.reduceat(mix(flat, 1), starts), mins
+            mins[:, k] = np.minimum.reduceat(((base * factors[k]) >> np.uint64(32)).astype(np.uint32), segments)[::step]
+        return np.add.reduceat(mix(ordered, 1), starts), np.bitwise_xor.reduceat(mix(ordered, 2), starts), mins
 
     def embed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            batch = batch.filter(batch.column(1).is_valid())
-            if not batch.num_rows:
+            kept, made, codes, ends = [], [], [], []
+            if len(hashes) > WORDS_KEPT:
+                hashes.clear()
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = WORD.findall(text.lower()) if text else []
+                if len(words) < least:
+                    continue
+                codes += map(hashes.__getitem__, words)
+                kept.append(i)
+                ends.append(len(codes))
+                if len(codes) > 32_768:  # what fits into the processor's cache
+                    made.append(some(codes, ends))
+                    codes, ends = [], []
+            if ends:
+                made.append(some(codes, ends))
+            if not made:
                 continue
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            made, low = [], 0
-            while low < batch.num_rows:  # about 32,000 shingles at a time stay in the cache
-                high = max(low + 1, int(np.searchsorted(ends, ends[low] + 32_768, "right")) - 1)
-                high = min(high, batch.num_rows)
-                made.append(some(flat[ends[low] : ends[high]], ends[low:high] - ends[low]))
-                low = high
             a, b, mins = (np.concatenate(x) for x in zip(*made))
             nibbles = (mins & np.uint32(15)).astype(np.uint64).reshape(-1, 4, 16)
             sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
-            paths = np.ascontiguousarray(mins[:, :PATH_COORDINATES]).view(np.int32)
-            offsets = pa.array(np.arange(0, paths.size + 1, PATH_COORDINATES, dtype=np.int32))
+            paths = np.ascontiguousarray(mins[:, :runs]).view(np.int32)
+            offsets = pa.array(np.arange(0, paths.size + 1, runs, dtype=np.int32))
             columns = [
-                batch.column(0),
+                batch.column(0).take(pa.array(kept)),
                 pa.array(a.view(np.int64)),
                 pa.array(b.view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(paths.ravel())),
@@ -105,14 +120,15 @@ def embed(df: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "id bigint, set_a bigint, set_b bigint, mins array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
-    return df.select("id", "shingles").mapInArrow(embed_batches, schema)
+    schema = "id bigint, seq_a bigint, seq_b bigint, mins array<int>, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    return texts.select("id", "text").mapInArrow(embed_batches, schema)
 
 
 def runs_needed(threshold: float, recall: float) -> int:
     """Runs until a pair at the threshold shares a bucket and one further split with the target recall."""
-    met = threshold * (1 - (1 - threshold) ** FANOUT)
-    return min(PATH_COORDINATES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    agree = threshold + (1 - threshold) / 16
+    met = threshold * (1 - (1 - agree**2) ** FANOUT)
+    return min(MOST_RUNS, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
 def agreements(a: str, b: str) -> Column:
@@ -127,75 +143,182 @@ def agreements(a: str, b: str) -> Column:
     return F.lit(COORDINATES) - reduce(lambda x, y: x + y, map(differing, range(4)))
 
 
-def least_agreements(threshold: float) -> int:
-    """Agreements that a pair at the threshold has but for SCREEN_SIGMAS standard deviations."""
+def least_agreements(threshold: float, values: int = COORDINATES) -> int:
+    """Agreements of ``values`` that a pair at the threshold has but for SCREEN_SIGMAS standard deviations."""
     p = threshold + (1 - threshold) / 16
-    return math.floor(COORDINATES * p - SCREEN_SIGMAS * math.sqrt(COORDINATES * p * (1 - p)))
+    return math.floor(values * p - SCREEN_SIGMAS * math.sqrt(values * p * (1 - p)))
+
+
+def compare_buckets(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of buckets of at most BUCKET sets that pass the sketch, and the rows of larger buckets.
+
+    Rows (bucket, id, s0 to s3) are brought together by bucket and sorted, and
+    one pass over each partition compares every row with those that follow it in
+    its bucket. Never more than a batch and BUCKET rows are held. Pairs come out
+    as (null, id_a, id_b), rows of larger buckets as (bucket, id, null, s0 to s3).
+    """
+    least, size = least_agreements(threshold), BUCKET
+    least_half = least_agreements(threshold, COORDINATES // 2)
+    ones = np.uint64(0x1111111111111111)
+
+    def agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x ^ y
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        return 16 * x.shape[1] - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64)
+
+    def sweep(held: np.ndarray) -> pa.RecordBatch:
+        """Rows sorted by bucket, all buckets whole (or cut off beyond size)."""
+        bucket, ids = np.ascontiguousarray(held[:, 0]), held[:, 1]
+        sketch = np.ascontiguousarray(held[:, 2:]).view(np.uint64)
+        half = np.ascontiguousarray(sketch[:, :2])
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        n = np.diff(np.r_[starts, len(bucket)])
+        many = np.repeat(n > size, n)
+        left, right, at = [], [], np.flatnonzero(~many)
+        for d in range(1, size):
+            at = at[at + d < len(bucket)]
+            at = at[bucket[at] == bucket[at + d]]
+            if not len(at):
+                break
+            near = at[agree(half[at], half[at + d]) >= least_half]
+            near = near[agree(sketch[near], sketch[near + d]) >= least]
+            left.append(ids[near])
+            right.append(ids[near + d])
+        none = np.empty(0, dtype=np.int64)
+        a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+        return together(np.minimum(a, b), np.maximum(a, b), held[many])
+
+    def together(a: np.ndarray, b: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+        mask = np.r_[np.ones(len(a), bool), np.zeros(len(large), bool)]
+        pad = np.zeros(len(a), dtype=np.int64)
+        columns = [pa.array(np.r_[pad, large[:, 0]], mask=mask), pa.array(np.r_[a, large[:, 1]])]
+        columns += [pa.array(np.r_[b, np.zeros(len(large), np.int64)], mask=~mask)]
+        columns += [pa.array(np.r_[pad, large[:, k]], mask=mask) for k in range(2, 6)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "other", "s0", "s1", "s2", "s3"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((0, 6), dtype=np.int64)
+        over = None  # a large bucket whose first rows have gone out
+        none = np.empty(0, dtype=np.int64)
+        for batch in batches:
+            rows = np.column_stack([c.to_numpy() for c in batch.columns])
+            if over is not None:
+                more = rows[:, 0] == over
+                if more.any():
+                    yield together(none, none, rows[more])
+                    rows = rows[~more]
+            held = np.concatenate([kept, rows])
+            if not len(held):
+                continue
+            last = int(np.searchsorted(held[:, 0], held[-1, 0], "left"))
+            if len(held) - last > size:
+                over, last = int(held[-1, 0]), len(held)
+            if last:
+                yield sweep(held[:last])
+            kept = held[last:]
+        if len(kept):
+            yield sweep(kept)
+
+    columns = ["bucket", "id", "s0", "s1", "s2", "s3"]
+    schema = "bucket bigint, id bigint, other bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+    return rows.select(columns).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, schema)
+
+
+def split_rows(rows: DataFrame, level: int, runs: int) -> DataFrame:
+    """Rows of large buckets in the buckets below, by FANOUT pairs of sketch values sampled for each bucket."""
+    sketch = ["s0", "s1", "s2", "s3"]
+
+    def sampled(k: int) -> Column:
+        place = F.pmod(F.xxhash64("bucket", F.lit(level), F.lit(k)), F.lit(COORDINATES - runs)) + runs
+        return place.cast("int")
 
+    pairs = F.array(*[F.struct(sampled(2 * k).alias("i"), sampled(2 * k + 1).alias("j")) for k in range(FANOUT)])
+    chosen = rows.select("id", "bucket", *sketch, F.explode(pairs).alias("p"))
+    values = [sketch_value(F.col("p.i")), sketch_value(F.col("p.j"))]
+    return chosen.select(F.xxhash64("bucket", "p", *values).alias("bucket"), "id", *sketch)
 
-def bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs id_a < id_b that share a bucket and pass the sketch; both sides read one shuffle."""
-    meet = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id"))
-    close = agreements("a", "b") >= least_agreements(threshold)
-    pairs = rows.alias("a").join(rows.alias("b"), meet & close)
-    return pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
 
+def hot_buckets(rows: DataFrame) -> DataFrame:
+    """Buckets that hold a large part of all rows, judged by the ids of every 64th hash.
 
-def chosen_path_pairs(sets: DataFrame, threshold: float, recall: float = TARGET_RECALL) -> DataFrame:
+    Their rows are split before they are brought together, so that no task gets
+    them whole. At most HOT_BUCKETS can reach the share; a wrong guess costs only
+    time, as every bucket is either compared or split.
+    """
+    counted = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0).groupBy("bucket").count()
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return counted.where(F.col("count") > max(BUCKET, total / HOT_BUCKETS)).select("bucket")
+
+
+def chosen_path_pairs(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
     """Distinct candidate pairs of ``sets`` (id, mins, s0 to s3)."""
     sketch = ["s0", "s1", "s2", "s3"]
-    runs = F.array(*[F.struct(F.lit(r).alias("r"), F.col("mins")[r].alias("m")) for r in range(runs_needed(threshold, recall))])
-    rows = sets.select("id", *sketch, F.explode(runs).alias("e")).select(
-        F.xxhash64("e.r", "e.m").alias("bucket"), "id", *sketch
-    )
+    named = sets.select("id", *sketch, F.posexplode("mins").alias("r", "m"))
+    rows = named.select(F.xxhash64("r", "m").alias("bucket"), "id", *sketch)
     found = []
-    for level in range(LEVELS + 1):
-        sized = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket")))
-        last = level == LEVELS
-        found.append(bucket_pairs(sized.where("n > 1" if last else f"n BETWEEN 2 AND {BUCKET}"), threshold))
-        if last:
+    for level in range(LEVELS):
+        hot = [tuple(r) for r in hot_buckets(rows).limit(HOT_BUCKETS).collect()]
+        if hot:
+            known = F.broadcast(rows.sparkSession.createDataFrame(hot, "bucket bigint"))
+            cold = rows.join(known, "bucket", "left_anti")
+            rows = cold.unionAll(split_rows(rows.join(known, "bucket", "left_semi"), level + LEVELS, runs))
+        compared = cut(compare_buckets(rows, threshold))
+        found.append(compared.where("other IS NOT NULL").select(F.col("id").alias("id_a"), F.col("other").alias("id_b")))
+        large = compared.where("other IS NULL").select("bucket", "id", *sketch)
+        if large.isEmpty():
             break
-        large = sized.where(f"n > {BUCKET}").select("bucket", "id")
-        chosen = F.array(*[F.pmod(F.xxhash64("bucket", F.lit(level), F.lit(k)), F.lit(PATH_COORDINATES)) for k in range(FANOUT)])
-        rows = (
-            large.join(sets, "id")
-            .select("id", "bucket", "mins", *sketch, F.explode(F.array_distinct(chosen)).alias("i"))
-            .select(F.xxhash64("bucket", "i", F.get("mins", F.col("i").cast("int"))).alias("bucket"), "id", *sketch)
-        )
+        rows = split_rows(large, level, runs)
+    else:
+        meet = F.expr("a.bucket = b.bucket AND a.id < b.id") & (agreements("a", "b") >= least_agreements(threshold))
+        found.append(rows.alias("a").join(rows.alias("b"), meet).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
     return reduce(DataFrame.unionAll, found).distinct()
 
 
+def sketch_value(i: Column) -> Column:
+    """The i-th of the 64 four-bit values of a sketch."""
+    word = F.get(F.array("s0", "s1", "s2", "s3"), F.floor(i / 16).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (i % 16) * 4).bitwiseAND(F.lit(15))
+
+
 def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
     """The pairs whose Jaccard similarity of shingles, from the texts (id, text), reaches the threshold."""
+
+    def runs_of(text: str) -> set[tuple[str, ...]]:
+        words = WORD.findall(text.lower())
+        return set(zip(*[words[k:] for k in range(size)]))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = runs_of(a), runs_of(b)
+                common = len(x & y)
+                same.append(common >= threshold * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
     ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     needed = ends.join(texts, "id")
     both = pairs.join(needed.toDF("id_a", "text_a"), "id_a").join(needed.toDF("id_b", "text_b"), "id_b")
-    def sets(text: str) -> Column:
-        return let(words_of(F.col(text)), lambda w: shingles_of(w, size))
+    return both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(verify, "id_a bigint, id_b bigint")
 
-    def enough(p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        return let(F.size(F.array_intersect(x, y)), lambda c: c >= threshold * (F.size(x) + F.size(y) - c))
 
-    sides = F.struct(sets("text_a").alias("x"), sets("text_b").alias("y"))
-    return both.where(let(sides, enough)).select("id_a", "id_b")
-
-
-def similar_sets(texts: DataFrame, threshold: float, size: int, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """Links between representatives of equal sets (id_a < id_b), and members (id, rep, copies).
+def similar_texts(
+    texts: DataFrame, threshold: float, size: int, least_words: int, recall: float = TARGET_RECALL
+) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives of equal texts (id_a < id_b), and members (id, rep, copies).
 
     ``texts`` holds id and text. Texts of fewer than ``least_words`` words, or
-    fewer than ``size``, take no part. Records with the same set of shingles are
-    one class, represented by the smallest id.
+    fewer than ``size``, take no part. Records with the same words in the same
+    order are one class, represented by the smallest id.
     """
-    least = max(least_words, size)
-    sets = let(words_of(F.col("text")), lambda w: F.when(F.size(w) >= least, shingles_of(w, size)))
-    embedded = cut(embed(texts.select("id", sets.alias("shingles"))))
-    equal = embedded.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = embedded.select("id", "set_a", "set_b").join(equal, ["set_a", "set_b"]).select("id", "rep", "copies")
-    members = cut(members)
-    reps = embedded.join(members.where("id = rep").select("id"), "id")
-    candidates = chosen_path_pairs(reps.select("id", "mins", "s0", "s1", "s2", "s3"), threshold)
+    runs = runs_needed(threshold, recall)
+    embedded = cut(embed(texts, size, least_words, runs))
+    first = F.min(F.struct("id", "mins", "s0", "s1", "s2", "s3")).alias("first")
+    equal = cut(embedded.groupBy("seq_a", "seq_b").agg(first, F.count("*").alias("copies")))
+    classes = equal.select("seq_a", "seq_b", F.col("first.id").alias("rep"), "copies")
+    members = cut(embedded.select("id", "seq_a", "seq_b").join(classes, ["seq_a", "seq_b"]).select("id", "rep", "copies"))
+    candidates = chosen_path_pairs(equal.select("first.*"), threshold, runs)
     return cut(verify_pairs(candidates, texts, threshold, size)), members
 
 
@@ -223,8 +346,8 @@ def claim_texts(claims: DataFrame) -> DataFrame:
 
 
 def similar_claims(claims: DataFrame, threshold: float = 0.5, size: int = 3, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Links and members of claims that largely say the same; see ``similar_sets``.
+    """Links and members of claims that largely say the same; see ``similar_texts``.
 
     Whole texts count. Null and empty texts have no words and match nothing.
     """
-    return similar_sets(claim_texts(claims), threshold, size, least_words)
+    return similar_texts(claim_texts(claims), threshold, size, least_words)
