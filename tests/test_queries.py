@@ -3,10 +3,10 @@
 import pytest
 
 import oracle
-from cairnset.plans import numbered, triage
+from cairnset.plans import intake, numbered, triage
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**numbered.QUERIES, **triage.QUERIES}
+QUERIES = {**numbered.QUERIES, **triage.QUERIES, **intake.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
