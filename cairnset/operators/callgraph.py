@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Parts of a decorator's text, and names, that mark an entry point.
@@ -111,11 +112,9 @@ def callers(functions: DataFrame, calls: DataFrame, most: int = MOST_CALLERS) ->
     """Per function name the first ``most`` callers in order, and how many there are.
 
     A caller of the same bare name, in any file, does not count. Callers are
-    distinct rows; a window keeps the first few, so a name that everything calls
-    is never collected.
+    distinct rows; Spark limits the window's groups to the first few before the
+    shuffle, so a name that everything calls is never brought together.
     """
-    from pyspark.sql import Window as W
-
     names = functions.select(F.col("name").alias("callee")).distinct()
     own = F.endswith(F.col("caller"), F.concat(F.lit("::"), F.col("callee")))
     met = calls.join(names, "callee").where(~own)

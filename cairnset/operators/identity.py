@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cairnset.functions.digest import text_digest
 from cairnset.functions.text import normalise_weakness, title_tokens
 
+ARRIVALS_PER_CELL = 65_536
+
 
 def anchors(resolved: DataFrame, around: DataFrame) -> DataFrame:
     """Per claim the anchor: its smallest ``path::function``, else its smallest path; only resolved citations count."""
@@ -83,5 +85,16 @@ def related_sites(named: DataFrame) -> DataFrame:
 
 
 def numbered_items(named: DataFrame) -> DataFrame:
-    """Members of each identity numbered in order of arrival."""
-    return named.select("identity_key", "ord", F.row_number().over(W.partitionBy("identity_key").orderBy("ord")).alias("n"))
+    """Members of each identity numbered in order of arrival.
+
+    Arrivals are cut into cells; members are numbered within a cell and shifted
+    by the counts of the cells before, so an identity that holds a third of all
+    rows is spread over as many tasks as it has cells.
+    """
+    placed = named.select("identity_key", "ord", F.floor(F.col("ord") / ARRIVALS_PER_CELL).alias("cell"))
+    counts = placed.groupBy("identity_key", "cell").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("identity_key").orderBy("cell")) - F.col("c")
+    inside = F.row_number().over(W.partitionBy("identity_key", "cell").orderBy("ord"))
+    shifted = counts.select("identity_key", "cell", before.alias("before"))
+    numbered = placed.withColumn("i", inside).join(shifted, ["identity_key", "cell"])
+    return numbered.select("identity_key", "ord", (F.col("i") + F.col("before")).alias("n"))
