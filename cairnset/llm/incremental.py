@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,6 +134,12 @@ def covers(x: Column, y: Column) -> Column:
     return 3 * F.size(F.array_intersect(x, y)) >= F.size(x) + F.size(y)
 
 
+SCHEMAS = {
+    "prints": "fp bigint, id bigint, bucket int",
+    "accepted": "id bigint, key binary, set_id binary, digests array<bigint>, bucket int",
+}
+
+
 @dataclass
 class Store:
     """Accepted entries and their fingerprints; see the module."""
@@ -153,8 +160,7 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         paths = [f"{self.path}/{name}/batch={b}" for b in range(self.batches)]
-        schema = {"prints": "fp bigint, id bigint, bucket int", "accepted": "id bigint, key binary, digests array<bigint>, bucket int"}
-        read = self.spark.read.schema(schema[name] + ", batch int").option("basePath", f"{self.path}/{name}")
+        read = self.spark.read.schema(SCHEMAS[name] + ", batch int").option("basePath", f"{self.path}/{name}")
         return read.parquet(*paths).drop("batch")
 
     def bloom(self) -> DataFrame:
@@ -186,25 +192,31 @@ class Store:
         return placed.groupBy("bucket").cogroup(self.bloom().groupBy("bucket")).applyInPandas(test, "probe bigint, bucket int")
 
     def lookup(self, prints: DataFrame, prepared: DataFrame) -> DataFrame:
-        """(unit, id): accepted entries that share the key, or cover the set, of a unit."""
-        positive = cut(self.screen(prints.select("probe").distinct()))
-        touched = [r[0] for r in positive.select("bucket").distinct().collect()]  # at most all buckets, 4,096
-        held = self.read("prints").where(F.col("bucket").isin(touched))
-        hits = held.join(positive.select(F.col("probe").alias("fp"), "bucket"), ["bucket", "fp"]).select("fp", "id")
-        candidates = cut(prints.join(hits.withColumnRenamed("fp", "probe"), "probe").select("unit", "id").distinct())
-        parts = candidates.select(self.bucket_of(F.col("id")).alias("b")).distinct().collect()
-        accepted = self.read("accepted").where(F.col("bucket").isin([r[0] for r in parts]))
+        """(unit, id): accepted entries that share the key, or cover the set, of a unit.
+
+        Both tables are partitioned by bucket and joined on it, so Spark prunes
+        the buckets in which no positive falls.
+        """
+        positive = self.screen(prints.select("probe").distinct()).withColumnRenamed("probe", "fp")
+        hits = self.read("prints").join(positive, ["bucket", "fp"]).select(F.col("fp").alias("probe"), "id")
+        candidates = prints.join(hits, "probe").select("unit", "id").distinct().withColumn("bucket", self.bucket_of(F.col("id")))
+        accepted = self.read("accepted").select("bucket", "id", "key", "digests")
         sets = prepared.where("set_id IS NOT NULL").groupBy("set_id").agg(F.any_value("digests").alias("mine"))
-        joined = candidates.join(accepted.drop("bucket"), "id").join(sets, F.col("unit") == F.col("set_id"), "left")
+        joined = candidates.join(accepted, ["bucket", "id"]).join(sets, F.col("unit") == F.col("set_id"), "left")
         same = F.when(F.col("set_id").isNull(), F.col("key") == F.col("unit")).otherwise(covers(F.col("mine"), F.col("digests")))
         return joined.where(same).select("unit", "id")
 
-    def update(self, accepted: DataFrame, prints: DataFrame) -> None:
-        """Adds accepted entries, their fingerprints and new versions of the Bloom filters."""
+    def add(self, accepted: DataFrame) -> DataFrame:
+        """Writes accepted entries and gives them back (id, key, set_id) from the store."""
+        rows = accepted.select(F.col("entry_id").alias("id"), "key", "set_id", "digests", self.bucket_of(F.col("entry_id")).alias("bucket"))
+        path = f"{self.path}/accepted/batch={self.batches}"
+        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return self.spark.read.schema(SCHEMAS["accepted"]).parquet(path).select("id", "key", "set_id")
+
+    def update(self, added: DataFrame, prints: DataFrame) -> None:
+        """Adds the fingerprints of the entries just added, and new versions of the Bloom filters."""
         b, bits = self.batches, self.bits
-        rows = accepted.select(F.col("entry_id").alias("id"), "key", "digests", self.bucket_of(F.col("entry_id")).alias("bucket"))
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/accepted/batch={b}")
-        units = accepted.select(F.col("entry_id").alias("id"), F.explode(F.array("key", "set_id")).alias("unit"))
+        units = added.select("id", F.explode(F.array("key", "set_id")).alias("unit"))
         new = (
             prints.join(units.where("unit IS NOT NULL"), "unit")
             .select("fp", "id", self.bucket_of(F.col("fp")).alias("bucket"))
@@ -222,11 +234,9 @@ class Store:
             np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
             return pd.DataFrame({"bucket": [bucket], "bits": [held.tobytes()]})
 
-        added = (
-            self.spark.read.schema("fp bigint, id bigint, bucket int").parquet(f"{self.path}/prints/batch={b}").select("fp", "bucket").distinct()
-        )
+        there = self.spark.read.schema(SCHEMAS["prints"]).parquet(f"{self.path}/prints/batch={b}").select("fp", "bucket").distinct()
         before = self.spark.createDataFrame([], "bucket int, bits binary") if self.empty else self.bloom()
-        merged = added.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInPandas(merge, "bucket int, bits binary")
+        merged = there.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInPandas(merge, "bucket int, bits binary")
         merged.write.parquet(f"{self.path}/bloom/{b}")
         self.batches += 1
 
@@ -265,19 +275,16 @@ def first_come(free: DataFrame, links: DataFrame) -> DataFrame:
         sets = by_set.join(near.withColumnRenamed("set_a", "set_id"), "set_id", "left")
         first = F.least("key_first", "set_first", "near_first")
         seen = undecided.join(by_key, "key", "left").join(sets, "set_id", "left")
-        won = cut(seen.where(first.isNull() | (F.col("entry_id") <= first)).select("entry_id", "key", "set_id"))
+        wins = first.isNull() | (F.col("entry_id") <= first)
+        state = cut(seen.select("entry_id", "key", "set_id", wins.alias("won")))
+        won = state.where("won")
         rounds.append(won.select("entry_id"))
+        if state.where("NOT won").isEmpty():
+            return reduce(DataFrame.unionAll, rounds)
         sets_won = won.where("set_id IS NOT NULL").select("set_id")
         closed = sets_won.unionAll(links.join(sets_won.toDF("set_a"), "set_a").select("set_b")).distinct()
-        left = undecided.join(won.select("entry_id"), "entry_id", "left_anti")
-        left = left.join(won.where("key IS NOT NULL").select("key"), "key", "left_anti")
-        undecided = cut(left.join(closed, "set_id", "left_anti").select("entry_id", "key", "set_id"))
-        if undecided.isEmpty():
-            break
-    union = rounds[0]
-    for r in rounds[1:]:
-        union = union.unionAll(r)
-    return union
+        left = state.where("NOT won").join(won.where("key IS NOT NULL").select("key"), "key", "left_anti")
+        undecided = left.join(closed, "set_id", "left_anti").select("entry_id", "key", "set_id")
 
 
 def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
@@ -294,10 +301,8 @@ def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
         known = cut(store.lookup(prints, prepared))
         units = known.select("unit").distinct()
         free = free.join(units.toDF("key"), "key", "left_anti").join(units.toDF("set_id"), "set_id", "left_anti")
-    accepted = cut(prepared.join(first_come(free, links), "entry_id"))
-
-    rejected = prepared.select("entry_id", "key", "set_id").join(accepted.select("entry_id"), "entry_id", "left_anti")
-    own = accepted.select(F.col("entry_id").alias("id"), "key", "set_id")
+    own = store.add(prepared.join(first_come(free, links), "entry_id"))
+    rejected = prepared.select("entry_id", "key", "set_id").join(own.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
     keyed = own.where("key IS NOT NULL").select(F.col("key").alias("unit"), "id")
     by_set = own.where("set_id IS NOT NULL").select(F.col("set_id").alias("unit"), "id")
     near = links.join(by_set.toDF("set_b", "id"), "set_b").select(F.col("set_a").alias("unit"), "id")
@@ -307,7 +312,7 @@ def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
     if known is not None:
         found = found.unionAll(asked.join(known, "unit").select(F.col("id").alias("accepted_id"), "entry_id"))
     result = cut(found.distinct())
-    store.update(accepted, prints)
+    store.update(own, prints)
     return result
 
 
