@@ -88,4 +88,13 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_pieces": p8_pieces,
 }
-SQL: dict[str, str] = {"p2_found": P2_SQL}
+P3_SQL = """WITH w AS (
+  SELECT claim_ord, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(raw_text, '')), '[a-z0-9]+') AS w FROM claims),
+s AS (
+  SELECT DISTINCT claim_ord, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM w WHERE len(w) >= 20),
+n AS (SELECT claim_ord, count(*) AS n FROM s GROUP BY claim_ord),
+c AS (SELECT a.claim_ord AS x, b.claim_ord AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.claim_ord < b.claim_ord GROUP BY ALL)
+SELECT x AS claim_ord_a, y AS claim_ord_b FROM c JOIN n p ON p.claim_ord = x JOIN n q ON q.claim_ord = y WHERE 2 * k >= p.n + q.n - k"""
+
+SQL: dict[str, str] = {"p2_found": P2_SQL, "p3_found": P3_SQL}
