@@ -259,32 +259,40 @@ def batch_links(prints: DataFrame, prepared: DataFrame) -> DataFrame:
     return checked.select(both.alias("p")).select("p.*")
 
 
-def first_come(free: DataFrame, links: DataFrame) -> DataFrame:
-    """entry_id of those accepted when ``free`` (entry_id, key, set_id) are taken in order of entry_id.
-
-    Rounds: an entry is accepted once no earlier undecided entry shares its key
-    or set or has a linked set; then all it touches are decided too. Equal keys
-    and equal sets are handled through their smallest entry, never as pairs.
-    Rounds are as many as the longest chain of entries that wait for each other.
+def reached_units(prepared: DataFrame, links: DataFrame) -> DataFrame:
+    """(entry_id, unit, own): the key and set of each entry, and the sets linked with its set."""
+    own = prepared.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
+    near = own.join(links, F.col("unit") == F.col("set_a")).select("entry_id", F.col("set_b").alias("unit"), F.lit(False).alias("own"))
+    return own.withColumn("own", F.lit(True)).unionAll(near)
+
+
+def first_come(prepared: DataFrame, reached: DataFrame, known: DataFrame | None) -> DataFrame:
+    """entry_id of those accepted when the entries are taken in order of entry_id.
+
+    ``known`` names the units that the store holds already; their entries are
+    out from the start. Then rounds: an entry is accepted once no earlier
+    undecided entry owns a unit it reaches; then all that reach its units are
+    out. Entries of equal keys or sets wait for the smallest of them and are
+    never paired. Rounds are as many as the longest chain of entries that wait
+    for each other.
     """
-    undecided, rounds = free, []
+    undecided, rounds = prepared.select("entry_id"), []
+    if known is not None:
+        stopped = reached.where("own").join(known.select("unit").distinct(), "unit").select("entry_id")
+        undecided = undecided.join(stopped.distinct(), "entry_id", "left_anti")
     while True:
-        by_key = undecided.where("key IS NOT NULL").groupBy("key").agg(F.min("entry_id").alias("key_first"))
-        by_set = undecided.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("entry_id").alias("set_first"))
-        near = links.join(by_set.toDF("set_b", "f"), "set_b").groupBy("set_a").agg(F.min("f").alias("near_first"))
-        sets = by_set.join(near.withColumnRenamed("set_a", "set_id"), "set_id", "left")
-        first = F.least("key_first", "set_first", "near_first")
-        seen = undecided.join(by_key, "key", "left").join(sets, "set_id", "left")
-        wins = first.isNull() | (F.col("entry_id") <= first)
-        state = cut(seen.select("entry_id", "key", "set_id", wins.alias("won")))
-        won = state.where("won")
-        rounds.append(won.select("entry_id"))
+        asked = reached.join(undecided, "entry_id")
+        first = asked.where("own").groupBy("unit").agg(F.min("entry_id").alias("first"))
+        waits = asked.join(first, "unit").groupBy("entry_id").agg(F.bool_or(F.col("first") < F.col("entry_id")).alias("waits"))
+        wins = ~F.coalesce("waits", F.lit(False))
+        state = cut(undecided.join(waits, "entry_id", "left").select("entry_id", wins.alias("won")))
+        won = state.where("won").select("entry_id")
+        rounds.append(won)
         if state.where("NOT won").isEmpty():
             return reduce(DataFrame.unionAll, rounds)
-        sets_won = won.where("set_id IS NOT NULL").select("set_id")
-        closed = sets_won.unionAll(links.join(sets_won.toDF("set_a"), "set_a").select("set_b")).distinct()
-        left = state.where("NOT won").join(won.where("key IS NOT NULL").select("key"), "key", "left_anti")
-        undecided = left.join(closed, "set_id", "left_anti").select("entry_id", "key", "set_id")
+        taken = reached.where("own").join(won, "entry_id").select("unit")
+        out = reached.join(taken.distinct(), "unit").select("entry_id").distinct()
+        undecided = state.where("NOT won").select("entry_id").join(out, "entry_id", "left_anti")
 
 
 def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
@@ -294,23 +302,15 @@ def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
     keys = prepared.where("key IS NOT NULL").select("key").distinct()
     sets = prepared.where("set_id IS NOT NULL").groupBy("set_id").agg(F.any_value("digests").alias("digests"))
     prints = cut(key_prints(keys).unionAll(set_prints(sets, store.hot)))
-    links = cut(batch_links(prints, prepared))
-    free = prepared.select("entry_id", "key", "set_id")
-    known = None
-    if not store.empty:
-        known = cut(store.lookup(prints, prepared))
-        units = known.select("unit").distinct()
-        free = free.join(units.toDF("key"), "key", "left_anti").join(units.toDF("set_id"), "set_id", "left_anti")
-    own = store.add(prepared.join(first_come(free, links), "entry_id"))
-    rejected = prepared.select("entry_id", "key", "set_id").join(own.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
-    keyed = own.where("key IS NOT NULL").select(F.col("key").alias("unit"), "id")
-    by_set = own.where("set_id IS NOT NULL").select(F.col("set_id").alias("unit"), "id")
-    near = links.join(by_set.toDF("set_b", "id"), "set_b").select(F.col("set_a").alias("unit"), "id")
-    inside = keyed.unionAll(by_set).unionAll(near)
-    asked = rejected.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
-    found = asked.join(inside, "unit").where("id < entry_id").select(F.col("id").alias("accepted_id"), "entry_id")
+    reached = cut(reached_units(prepared, batch_links(prints, prepared)))
+    known = None if store.empty else cut(store.lookup(prints, prepared))
+    own = store.add(prepared.join(first_come(prepared, reached, known), "entry_id"))
+
+    units = own.select("id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
+    rejected = reached.join(own.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
+    found = rejected.join(units, "unit").where("id < entry_id").select(F.col("id").alias("accepted_id"), "entry_id")
     if known is not None:
-        found = found.unionAll(asked.join(known, "unit").select(F.col("id").alias("accepted_id"), "entry_id"))
+        found = found.unionAll(rejected.where("own").join(known, "unit").select(F.col("id").alias("accepted_id"), "entry_id"))
     result = cut(found.distinct())
     store.update(own, prints)
     return result
