@@ -3,10 +3,10 @@
 import pytest
 
 import oracle
-from cairnset.plans import intake, numbered, triage
+from cairnset.plans import followup, intake, numbered, triage
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {**numbered.QUERIES, **triage.QUERIES, **intake.QUERIES}
+QUERIES = {**numbered.QUERIES, **triage.QUERIES, **followup.QUERIES, **intake.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -25,3 +25,5 @@ def test_vocabularies_are_produced(spark):
     assert met["baseline_state"] == {"new", "stale", "carried"}
     assert met["span_state"] >= {"unchanged", "changed", "absent"}
     assert met["verdict_combine"] == {"verified", "unverifiable", "contradicted"}
+    checked = followup.verify_checks(spark, "/root/testdata/sf0.01").select("verdict").distinct()
+    assert {r[0] for r in checked.collect()} == {"verified", "contradicted", "unverifiable"}
