@@ -34,7 +34,8 @@ FANOUT = 4  #: pairs of values sampled in each bucket that is split again
 LEVELS = 4  #: splits of a bucket at most; what is left then is compared by brute force
 TARGET_RECALL = 0.98  #: of pairs exactly at the threshold whose bucket is split once more in every run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
-EXPANDED = 1_000  #: groups of more exact copies are given as links to their first record
+EXPANDED = 1_000  #: ``all_pairs`` gives groups of more exact copies as links to their first record
+PAIR_BLOCK = 1_000  #: pairs of a large group are made in blocks of about so many by so many records
 
 WORD = re.compile("[a-z0-9]+")  #: fixed value: a word of a lower-cased text
 WORDS_KEPT = 300_000  #: word hashes kept per task; speed only
@@ -303,31 +304,73 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int
     return both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(verify, "id_a bigint, id_b bigint")
 
 
+def equal_texts(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first record of each class of equal texts, with its size, and members (id, rep, copies).
+
+    Records with the same words in the same order are one class, represented by
+    the smallest id. The work of a class is in proportion to its size.
+    """
+    first = F.min(F.struct("id", "mins", "s0", "s1", "s2", "s3")).alias("first")
+    equal = cut(embedded.groupBy("seq_a", "seq_b").agg(first, F.count("*").alias("copies")))
+    classes = equal.select("seq_a", "seq_b", F.col("first.id").alias("rep"), "copies")
+    return equal, embedded.select("id", "seq_a", "seq_b").join(classes, ["seq_a", "seq_b"]).select("id", "rep", "copies")
+
+
 def similar_texts(
     texts: DataFrame, threshold: float, size: int, least_words: int, recall: float = TARGET_RECALL
 ) -> tuple[DataFrame, DataFrame]:
     """Links between representatives of equal texts (id_a < id_b), and members (id, rep, copies).
 
     ``texts`` holds id and text. Texts of fewer than ``least_words`` words, or
-    fewer than ``size``, take no part. Records with the same words in the same
-    order are one class, represented by the smallest id.
+    fewer than ``size``, take no part.
     """
     runs = runs_needed(threshold, recall)
-    embedded = cut(embed(texts, size, least_words, runs))
-    first = F.min(F.struct("id", "mins", "s0", "s1", "s2", "s3")).alias("first")
-    equal = cut(embedded.groupBy("seq_a", "seq_b").agg(first, F.count("*").alias("copies")))
-    classes = equal.select("seq_a", "seq_b", F.col("first.id").alias("rep"), "copies")
-    members = cut(embedded.select("id", "seq_a", "seq_b").join(classes, ["seq_a", "seq_b"]).select("id", "rep", "copies"))
+    equal, members = equal_texts(cut(embed(texts, size, least_words, runs)))
+    members = cut(members)
     candidates = chosen_path_pairs(equal.select("first.*"), threshold, runs)
     return cut(verify_pairs(candidates, texts, threshold, size)), members
 
 
+def in_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of a ``left`` and a ``right`` row that agree on ``keys``, at most one block by one block in a task.
+
+    Both sides hold the keys, id, and n_a and n_b, the number of blocks into which
+    each side of the key is cut. Where both are the same set (``same``), each pair
+    comes once.
+    """
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n))
+    every = lambda n, first=0: F.explode(F.sequence(F.lit(first).cast("bigint"), F.col(n) - 1))
+    x = left.select(*keys, "same", F.col("id").alias("a"), own("n_a").alias("i"), every("n_b").alias("j"))
+    y = right.select(*keys, F.col("id").alias("b"), own("n_b").alias("j"), every("n_a").alias("i"))
+    # Of the same set only blocks with i <= j meet, and in one block only a < b.
+    once = F.expr("NOT same OR i < j OR (i = j AND a < b)")
+    return x.where("NOT same OR i <= j").join(y, [*keys, "i", "j"]).where(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def every_pair(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Every pair (a < b) of linked or equal records, in groups of any size.
+
+    What is written grows with the square of a group; ``links`` and ``members``
+    say the same in proportion to the records. Large groups are cut into blocks,
+    so that no task gets all pairs of one.
+    """
+    sizes = members.where("id = rep").select("rep", F.ceil(F.col("copies") / PAIR_BLOCK).alias("n"), "copies")
+    equal = sizes.where("copies > 1").selectExpr("rep AS id_a", "rep AS id_b", "n AS n_a", "n AS n_b", "true AS same")
+    n = sizes.select("rep", "n")
+    linked = links.join(n.toDF("id_a", "n_a"), "id_a").join(n.toDF("id_b", "n_b"), "id_b")
+    both = linked.withColumn("same", F.lit(False)).unionByName(equal)
+    grouped = members.select("id", "rep")
+    left = both.join(grouped.toDF("id", "id_a"), "id_a")
+    right = both.drop("same").join(grouped.toDF("id", "id_b"), "id_b")
+    return in_blocks(left, right, ["id_a", "id_b"])
+
+
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair (a < b) of linked or equal records.
+    """Pairs (a < b) of linked or equal records, in short form for large groups; ``every_pair`` gives all of them.
 
     Of a group of more than EXPANDED exact copies only the representative takes
-    part in pairs, and each copy is given as a pair with it: from these links
-    and the others all pairs follow, without writing the square of the group.
+    part in pairs, and each copy is given as a pair with it. Together with
+    ``members`` all pairs follow, without writing the square of the group.
     """
     open_members = members.where(f"copies <= {EXPANDED} OR id = rep").select("id", "rep")
     within = members.where(f"copies BETWEEN 2 AND {EXPANDED}").select("id", "rep")
@@ -351,3 +394,8 @@ def similar_claims(claims: DataFrame, threshold: float = 0.5, size: int = 3, lea
     Whole texts count. Null and empty texts have no words and match nothing.
     """
     return similar_texts(claim_texts(claims), threshold, size, least_words)
+
+
+def claim_members(claims: DataFrame, size: int = 3, least_words: int = 20) -> DataFrame:
+    """Members (id, rep, copies) alone, without the search for links; one row per claim of enough words."""
+    return equal_texts(cut(embed(claim_texts(claims), size, least_words, 1)))[1]

@@ -23,10 +23,21 @@ def p2_layers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = nearduplicates.all_pairs(*nearduplicates.similar_claims(table(spark, d, "claims")))
+    pairs = nearduplicates.every_pair(*nearduplicates.similar_claims(table(spark, d, "claims")))
     return pairs.select(F.col("a").alias("claim_ord_a"), F.col("b").alias("claim_ord_b"))
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each claim: with p3_links the same as p3_found, in proportion to the claims."""
+    return nearduplicates.claim_members(table(spark, d, "claims")).withColumnRenamed("id", "claim_ord")
+
+
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of p3_members that are near: two claims are a pair if their reps are equal or linked."""
+    links, _ = nearduplicates.similar_claims(table(spark, d, "claims"))
+    return links.select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.repeated_entries(table(spark, d, "intake_entries"))
 
@@ -80,6 +91,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_layers": p2_layers,
     "p3_found": p3_found,
+    "p3_members": p3_members,
+    "p3_links": p3_links,
     "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,

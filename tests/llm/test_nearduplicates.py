@@ -5,6 +5,7 @@ import random
 import pytest
 
 from cairnset.llm import nearduplicates as near
+from cairnset.llm import queries
 
 SCHEMA = "claim_ord long, title string, raw_text string, bucket int"
 
@@ -77,3 +78,20 @@ def test_empty_and_long(spark):
     assert near.all_pairs(*near.similar_claims(spark.createDataFrame([], SCHEMA))).count() == 0
     long = " ".join(f"v{i}" for i in range(60_000))
     assert found(spark, [(1, "x", long, 1), (2, "y", long, 1)]) == {(1, 2)}
+
+
+def test_p3_queries_are_whole_for_large_groups(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(near, "EXPANDED", 5)
+    monkeypatch.setattr(near, "PAIR_BLOCK", 4, raising=False)
+    words = [f"t{i}" for i in range(40)]
+    rows = [(i, "same", " ".join(words), 1) for i in range(10)] + [(i, "SAME", ", ".join(words) + "!", 1) for i in range(10, 18)]
+    rows += [(i, "same", " ".join(words) + " more", 1) for i in range(50, 57)] + [(90, "other", " ".join(f"z{i}" for i in range(40)), 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "claims.parquet"))
+    want = truth(rows)
+    got = [tuple(r) for r in queries.p3_found(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    members = [tuple(r) for r in queries.p3_members(spark, str(tmp_path)).select("claim_ord", "rep", "copies").collect()]
+    links = {tuple(r) for r in queries.p3_links(spark, str(tmp_path)).collect()}
+    assert sorted(members) == [(i, 0, 18) for i in range(18)] + [(i, 50, 7) for i in range(50, 57)] + [(90, 90, 1)]
+    rebuilt = {(a, b) for a, x, _ in members for b, y, _ in members if a < b and (x == y or (min(x, y), max(x, y)) in links)}
+    assert rebuilt == want
