@@ -1,7 +1,8 @@
 """Triage queries over the given tables, each with its SQL twin.
 
-The given claims cite a source tree that is not there, so the documents stand in
-for it: document n is the file ``doc/n.py`` (or ``.md``), its text cut into
+``claim_locators``, ``anchor_locators`` and ``site_claims`` read the given
+locators. What they cite is a source tree that is not there; for the queries
+that resolve citations the documents stand in for it: document n is the file ``doc/n.py`` (or ``.md``), its text cut into
 blocks of ten lines that act as functions, and each citation of a claim points
 to a line of one. The same expressions make these tables for Spark and for SQL.
 """
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import blank_to_null, canonical_digest
-from cairnset.functions.text import fenced, first_line, normalise_weakness, split_lines, title_tokens
+from cairnset.functions.text import fenced, first_line, normalise_weakness, parse_locator, split_lines, title_tokens
 from cairnset.operators import callgraph, folds, identity, locators, snapshots
 from cairnset.plans.numbered import STATES_SQL, TRIM, digest_sql
 from cairnset.sources.tables import table
@@ -101,6 +102,25 @@ def locator_parse(spark: SparkSession, d: str) -> DataFrame:
     return locators.parsed(citations(spark, d))
 
 
+def claim_locators(spark: SparkSession, d: str) -> DataFrame:
+    """The locators that the claims give, as spelled, and their parts."""
+    given = table(spark, d, "claims").select(F.col("claim_ord").alias("ord"), F.posexplode("locators").alias("pos", "locator"))
+    return locators.parsed(given)
+
+
+def anchor_locators(spark: SparkSession, d: str) -> DataFrame:
+    """The locators of the decisions' anchors, as spelled, and their parts; repeated rows stay."""
+    parts = [c.alias(n) for n, c in parse_locator(F.col("locator")).items()]
+    return table(spark, d, "span_anchors").select("entry_row", "pos", "locator", *parts)
+
+
+def site_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Sites that several claims cite by their own locators: path and lines, however spelled, and the claims."""
+    sites = claim_locators(spark, d).where("path IS NOT NULL").groupBy("path", "start_line", "end_line")
+    grouped = sites.agg(F.count_distinct("ord").alias("n_claims"), F.min("ord").alias("first_ord"))
+    return grouped.where("n_claims > 1")
+
+
 def resolve_status(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d).select("ord", "pos", "resolution", "line_count", "content_hash", "truncated")
 
@@ -434,7 +454,19 @@ states AS (
     ON s.snapshot_no = c.snapshot_no AND s.identity_key = c.identity_key)"""
 _NEWEST = "SELECT k AS identity_key, arg_max(coalesce(title, chr(0)), o) AS title FROM (SELECT {k} AS k, {o} AS o, title FROM {t}) WHERE k IS NOT NULL GROUP BY k"
 
+_PARTS = f"""nullif(trim(regexp_extract(t, '{_LOC}', 1)), '') AS path,
+  try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint) AS start_line,
+  coalesce(try_cast(nullif(regexp_extract(t, '{_LOC}', 3), '') AS bigint), try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint)) AS end_line"""
+_SPELLED = "regexp_replace(locator, '^\\s+|\\s+$', '', 'g') AS t"
+GIVEN = f"""given AS (
+  SELECT ord, pos, locator, {_PARTS} FROM (SELECT *, {_SPELLED} FROM (
+    SELECT claim_ord AS ord, unnest(range(len(locators))) AS pos, unnest(locators) AS locator FROM claims)))"""
+
 SQL = {
+    "claim_locators": f"WITH {GIVEN} SELECT ord, pos, locator, path, start_line, end_line FROM given",
+    "anchor_locators": f"SELECT entry_row, pos, locator, {_PARTS} FROM (SELECT entry_row, pos, locator, {_SPELLED} FROM span_anchors)",
+    "site_claims": f"""WITH {GIVEN} SELECT path, start_line, end_line, count(DISTINCT ord) AS n_claims, min(ord) AS first_ord
+      FROM given WHERE path IS NOT NULL GROUP BY path, start_line, end_line HAVING count(DISTINCT ord) > 1""",
     "locator_parse": f"WITH {CITS} SELECT ord, pos, locator, path, start_line, end_line FROM parsed",
     "resolve_status": f"WITH {RESOLVED} SELECT ord, pos, resolution, line_count, content_hash, truncated FROM res",
     "resolution_histogram": f"WITH {RESOLVED} SELECT ord, count(*) AS total, "
@@ -494,7 +526,7 @@ SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        locator_parse, resolve_status, resolution_histogram, fully_unresolved, first_resolved, cwe_normalise, title_words, identity_key,
+        claim_locators, anchor_locators, site_claims, locator_parse, resolve_status, resolution_histogram, fully_unresolved, first_resolved, cwe_normalise, title_words, identity_key,
         merge_groups, representative, numbered_members, related_sites, enclosing_function, callers_topk, reachability_verdict,
         component_evidence, reach_evidence, answer_matrix, citation_rate, dedupe_effect, span_state, baseline_state, queue_summary,
         needs_person, last_writer_wins, duplicate_keys, upsert_entries, undecided, verdict_combine, fence_text, first_lines, event_props,

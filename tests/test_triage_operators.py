@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnset.functions import digest, text
 from cairnset.operators import callgraph, folds, identity, locators
+from cairnset.plans import triage
 
 
 def column(spark, values, fn, kind="string"):
@@ -158,3 +159,18 @@ def test_keyed_rows(spark):
     assert [tuple(r) for r in folds.repeated_keys(df, ["k"]).collect()] == [("a", 3)]
     new = spark.createDataFrame([("b", 9, "n"), ("c", 9, "n")], "k string, o int, v string")
     assert sorted(r.k + r.v for r in folds.upsert(df.where("k = 'b'"), new, ["k"]).collect()) == ["bn", "cn"]
+
+
+def test_given_locators_are_read(spark, tmp_path):
+    spelled = [["gateway/core/dispatch.py:63", " gateway/core/dispatch.py:63-63\n", None], ["gateway/core/dispatch.py:63", "a.py"], [], None, ["a.py:7-9", " "]]
+    spark.createDataFrame(list(enumerate(spelled)), "claim_ord long, locators array<string>").write.parquet(str(tmp_path / "claims.parquet"))
+    spark.createDataFrame([(4, 0, "b.py:3-5"), (4, 1, None)], "entry_row long, pos int, locator string").write.parquet(str(tmp_path / "span_anchors.parquet"))
+    got = {(r.ord, r.pos): (r.locator, r.path, r.start_line, r.end_line) for r in triage.claim_locators(spark, str(tmp_path)).collect()}
+    site = "gateway/core/dispatch.py"
+    assert got == {
+        (0, 0): (f"{site}:63", site, 63, 63), (0, 1): (f" {site}:63-63\n", site, 63, 63), (0, 2): (None, None, None, None),
+        (1, 0): (f"{site}:63", site, 63, 63), (1, 1): ("a.py", "a.py", None, None), (4, 0): ("a.py:7-9", "a.py", 7, 9), (4, 1): (" ", None, None, None),
+    }
+    anchors = [tuple(r) for r in triage.anchor_locators(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert anchors == [(4, 0, "b.py:3-5", "b.py", 3, 5), (4, 1, None, None, None, None)]
+    assert [tuple(r) for r in triage.site_claims(spark, str(tmp_path)).collect()] == [(site, 63, 63, 2, 0)]
