@@ -6,8 +6,9 @@ similarity. A run sends every set into the bucket named by one sampled value, a
 token that the members of the bucket share. Buckets of at most BUCKET sets are
 compared by brute force; larger ones are split again on further values sampled
 for that bucket, which are taken from the set's 256-bit sketch (4 bits of each
-MinHash value), up to LEVELS times. Runs are repeated until a pair at the
-threshold is met with the target recall. Pairs that meet are screened by the
+MinHash value), up to LEVELS times. Each split costs recall, so the splits that
+took place are counted, and runs are repeated for the sets that need more until
+a pair at the threshold is met with the target recall. Pairs that meet are screened by the
 sketch inside the join and verified exactly on their texts.
 """
 
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from cairnset.session import cut
 
 COORDINATES = 64  #: MinHash values per set; each gives 4 bits of the sketch
-MOST_RUNS = 24  #: of the values, at most so many name the buckets of runs; the others split large buckets
+MOST_RUNS = 24  #: of the values, so many can name the buckets of runs; those not used in the first round split large buckets
 BUCKET = 1024  #: a bucket of at most so many sets is compared by brute force
 HOT_BUCKETS = 10_000  #: at most so many buckets are split before their rows are brought together
 FANOUT = 4  #: pairs of values sampled in each bucket that is split again
 LEVELS = 4  #: splits of a bucket at most; what is left then is compared by brute force
-TARGET_RECALL = 0.98  #: of pairs exactly at the threshold whose bucket is split once more in every run
+TARGET_RECALL = 0.98  #: of pairs exactly at the threshold, however often their buckets are split
+RUN = 255  #: low bits of a bucket that hold its run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
 EXPANDED = 1_000  #: ``all_pairs`` gives groups of more exact copies as links to their first record
 PAIR_BLOCK = 1_000  #: pairs of a large group are made in blocks of about so many by so many records
@@ -125,11 +127,21 @@ def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame
     return texts.select("id", "text").mapInArrow(embed_batches, schema)
 
 
+def met(threshold: float, splits: int) -> float:
+    """Chance that a pair at the threshold is compared in a run that splits its bucket so many times.
+
+    Sampled values count as independent. Of the FANOUT branches of a split each
+    goes on if both values agree, so the chances do not simply multiply.
+    """
+    agree, below = threshold + (1 - threshold) / 16, 1.0
+    for _ in range(splits):
+        below = 1 - (1 - agree**2 * below) ** FANOUT
+    return threshold * below
+
+
 def runs_needed(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold shares a bucket and one further split with the target recall."""
-    agree = threshold + (1 - threshold) / 16
-    met = threshold * (1 - (1 - agree**2) ** FANOUT)
-    return min(MOST_RUNS, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    """Runs of the first round: enough where no bucket is split more than once. ``repeated_runs`` adds to them."""
+    return min(MOST_RUNS, math.ceil(math.log(1 - recall) / math.log(1 - met(threshold, 1))))
 
 
 def agreements(a: str, b: str) -> Column:
@@ -235,9 +247,14 @@ def split_rows(rows: DataFrame, level: int, runs: int) -> DataFrame:
         return place.cast("int")
 
     pairs = F.array(*[F.struct(sampled(2 * k).alias("i"), sampled(2 * k + 1).alias("j")) for k in range(FANOUT)])
-    chosen = rows.select("id", "bucket", *sketch, F.explode(pairs).alias("p"))
+    chosen = rows.select("id", "bucket", *sketch, F.explode(F.array_distinct(pairs)).alias("p"))
     values = [sketch_value(F.col("p.i")), sketch_value(F.col("p.j"))]
-    return chosen.select(F.xxhash64("bucket", "p", *values).alias("bucket"), "id", *sketch)
+    return chosen.select(with_run(F.xxhash64("bucket", "p", *values), F.col("bucket")).alias("bucket"), "id", *sketch)
+
+
+def with_run(bucket: Column, run: Column) -> Column:
+    """A bucket whose low bits are those of ``run``."""
+    return bucket.bitwiseAND(F.lit(~RUN)).bitwiseOR(run.cast("bigint").bitwiseAND(F.lit(RUN)))
 
 
 def hot_buckets(rows: DataFrame) -> DataFrame:
@@ -245,34 +262,94 @@ def hot_buckets(rows: DataFrame) -> DataFrame:
 
     Their rows are split before they are brought together, so that no task gets
     them whole. At most HOT_BUCKETS can reach the share; a wrong guess costs only
-    time, as every bucket is either compared or split.
+    time, as every bucket is either compared or split, and each split is counted.
     """
     counted = rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(64)) == 0).groupBy("bucket").count()
     total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return counted.where(F.col("count") > max(BUCKET, total / HOT_BUCKETS)).select("bucket")
 
 
-def chosen_path_pairs(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """Distinct candidate pairs of ``sets`` (id, mins, s0 to s3)."""
+def chosen_path_pairs(sets: DataFrame, threshold: float, runs: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidate pairs of ``sets`` (id, mins, s0 to s3), and the splits that took place as rows (id, run, at).
+
+    ``mins`` names the buckets, one run for each value; splits sample the values
+    from ``runs`` on. ``at`` is one bit for each time that rows are split.
+    """
     sketch = ["s0", "s1", "s2", "s3"]
     named = sets.select("id", *sketch, F.posexplode("mins").alias("r", "m"))
-    rows = named.select(F.xxhash64("r", "m").alias("bucket"), "id", *sketch)
-    found = []
+    rows = named.select(with_run(F.xxhash64("r", "m"), F.col("r")).alias("bucket"), "id", *sketch)
+    found, splits = [], []
+
+    def note(split: DataFrame, at: int) -> None:
+        splits.append(split.select("id", F.col("bucket").bitwiseAND(F.lit(RUN)).alias("run"), F.lit(1 << at).alias("at")))
+
     for level in range(LEVELS):
         hot = [tuple(r) for r in hot_buckets(rows).limit(HOT_BUCKETS).collect()]
         if hot:
             known = F.broadcast(rows.sparkSession.createDataFrame(hot, "bucket bigint"))
             cold = rows.join(known, "bucket", "left_anti")
-            rows = cold.unionAll(split_rows(rows.join(known, "bucket", "left_semi"), level + LEVELS, runs))
+            split = rows.join(known, "bucket", "left_semi")
+            note(split, level + LEVELS)
+            rows = cold.unionAll(split_rows(split, level + LEVELS, runs))
         compared = cut(compare_buckets(rows, threshold))
-        found.append(compared.where("other IS NOT NULL").select(F.col("id").alias("id_a"), F.col("other").alias("id_b")))
+        found.append(compared.where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b")))
         large = compared.where("other IS NULL").select("bucket", "id", *sketch)
         if large.isEmpty():
             break
+        note(large, level)
         rows = split_rows(large, level, runs)
     else:
         meet = F.expr("a.bucket = b.bucket AND a.id < b.id") & (agreements("a", "b") >= least_agreements(threshold))
         found.append(rows.alias("a").join(rows.alias("b"), meet).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
+    return reduce(DataFrame.unionAll, found), splits
+
+
+def short_of_recall(sets: DataFrame, splits: list[DataFrame], threshold: float, recall: float, runs: int) -> DataFrame:
+    """Sets (id, loss, deepest) that have not yet reached the recall after ``runs`` more runs.
+
+    ``sets`` has id and loss, the logarithm of the chance to miss a pair at the
+    threshold in the runs before. A run counts with all the times that any of a
+    set's rows were split in it, which is at least the number on any one path. A
+    pair is missed no more often than either of its sets allows, so it is enough
+    to go on with pairs of sets that are both short.
+    """
+    loss = [math.log1p(-met(threshold, k)) for k in range(2 * LEVELS + 1)]
+    more = F.get(F.array(*[F.lit(x - loss[0]) for x in loss]), F.col("times"))
+    times = F.bit_count(F.bit_or("at")).alias("times")
+    by_run = reduce(DataFrame.unionAll, splits).groupBy("id", "run").agg(times)
+    split = by_run.groupBy("id").agg(F.sum(more).alias("more"), F.max("times").alias("deepest"))
+    after = F.col("loss") + runs * loss[0] + F.coalesce("more", F.lit(0.0))
+    all_short = sets.join(split, "id", "left").select("id", after.alias("loss"), F.coalesce("deepest", F.lit(0)).alias("deepest"))
+    return all_short.where(F.col("loss") > math.log(1 - recall) + 1e-9)
+
+
+def repeated_runs(sets: DataFrame, threshold: float, recall: float, runs: int) -> DataFrame:
+    """Distinct candidate pairs of ``sets`` (id, mins, s0 to s3), with as many runs as their splits call for.
+
+    The first ``runs`` values of ``mins`` name the buckets of all sets; those that
+    come short of the recall go through further runs among themselves.
+    """
+    allowed, first, taken, found = math.log(1 - recall), runs, 0, []
+    left = sets.select("id", F.lit(0.0).alias("loss"))
+    now = sets.withColumn("mins", F.slice("mins", 1, runs))
+    while True:
+        pairs, splits = chosen_path_pairs(now, threshold, runs)
+        found.append(pairs)
+        taken += runs
+        once = len(splits) <= 1 and taken == first and runs * math.log1p(-met(threshold, len(splits))) <= allowed
+        if once:  # nobody was split more often than the first round allows for
+            break
+        nothing = left.select("id", F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("at")).limit(0)
+        left = cut(short_of_recall(left, [nothing, *splits], threshold, recall, runs))
+        worst, deepest = left.agg(F.max("loss"), F.max("deepest")).first()
+        if worst is None:
+            break
+        if taken == MOST_RUNS:
+            raise ValueError(f"{MOST_RUNS} runs do not reach a recall of {recall} at {threshold}")
+        runs = min(MOST_RUNS - taken, math.ceil((worst - allowed) / -math.log1p(-met(threshold, deepest))))
+        wanted = sets.select("id", F.slice("mins", taken + 1, runs).alias("mins"), "s0", "s1", "s2", "s3")
+        now = cut(wanted.join(left.select("id"), "id", "left_semi"))
+        left = left.select("id", "loss")
     return reduce(DataFrame.unionAll, found).distinct()
 
 
@@ -325,9 +402,9 @@ def similar_texts(
     fewer than ``size``, take no part.
     """
     runs = runs_needed(threshold, recall)
-    equal, members = equal_texts(cut(embed(texts, size, least_words, runs)))
+    equal, members = equal_texts(cut(embed(texts, size, least_words, MOST_RUNS)))
     members = cut(members)
-    candidates = chosen_path_pairs(equal.select("first.*"), threshold, runs)
+    candidates = repeated_runs(equal.select("first.*"), threshold, recall, runs)
     return cut(verify_pairs(candidates, texts, threshold, size)), members
 
 

@@ -95,3 +95,28 @@ def test_p3_queries_are_whole_for_large_groups(spark, monkeypatch, tmp_path):
     assert sorted(members) == [(i, 0, 18) for i in range(18)] + [(i, 50, 7) for i in range(50, 57)] + [(90, 90, 1)]
     rebuilt = {(a, b) for a, x, _ in members for b, y, _ in members if a < b and (x == y or (min(x, y), max(x, y)) in links)}
     assert rebuilt == want
+
+
+def test_runs_follow_the_splits_that_took_place(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET", 4)
+    runs, plain = [], near.chosen_path_pairs
+    monkeypatch.setattr(near, "chosen_path_pairs", lambda sets, t, n: runs.append(n) or plain(sets, t, n))
+    rows = corpus(2)
+    want, got = truth(rows), found(spark, rows)
+    assert got <= want and len(got) >= 0.99 * len(want)
+    assert runs[0] == 9 and len(runs) > 1 and sum(runs) <= near.MOST_RUNS
+
+
+def test_sets_split_more_than_once_are_short_of_recall(spark):
+    assert [round(near.met(0.5, k), 3) for k in range(3)] == [0.5, 0.367, 0.303]
+    sets = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.0), (4, -0.5)], "id long, loss double")
+    times = {1: 1, 2: 2, 4: 2}  # the third is never split
+    rows = [(i, r, 1 << k) for i, n in times.items() for r in range(9) for k in range(n)]
+    splits = [spark.createDataFrame(rows * 2, "id long, run long, at int")]
+    short = {r.id: (round(r.loss, 3), r.deepest) for r in near.short_of_recall(sets, splits, 0.5, 0.98, 9).collect()}
+    assert short == {2: (-3.243, 2), 4: (-3.743, 2)}
+
+
+def test_a_set_never_meets_itself(spark):
+    rows = spark.createDataFrame([(256, 1, 0, 0, 0, 0)], "bucket long, id long, s0 long, s1 long, s2 long, s3 long")
+    assert near.split_rows(rows, 0, near.COORDINATES - 1).count() == 1  # the same values sampled each time
