@@ -32,7 +32,7 @@ MOST_RUNS = 24  #: of the values, so many can name the buckets of runs; those no
 BUCKET = 1024  #: a bucket of at most so many sets is compared by brute force
 HOT_BUCKETS = 10_000  #: at most so many buckets are split before their rows are brought together
 FANOUT = 4  #: pairs of values sampled in each bucket that is split again
-LEVELS = 4  #: splits of a bucket at most; what is left then is compared by brute force
+LEVELS = 4  #: splits of a bucket at most; what is left then is compared in blocks of BUCKET by BUCKET sets
 TARGET_RECALL = 0.98  #: of pairs exactly at the threshold, however often their buckets are split
 RUN = 255  #: low bits of a bucket that hold its run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
@@ -299,8 +299,10 @@ def chosen_path_pairs(sets: DataFrame, threshold: float, runs: int) -> tuple[Dat
         note(large, level)
         rows = split_rows(large, level, runs)
     else:
-        meet = F.expr("a.bucket = b.bucket AND a.id < b.id") & (agreements("a", "b") >= least_agreements(threshold))
-        found.append(rows.alias("a").join(rows.alias("b"), meet).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
+        leaves = cut(rows)
+        n = leaves.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET).alias("n_a")).withColumn("n_b", F.col("n_a"))
+        counted = leaves.join(n.withColumn("same", F.lit(True)), "bucket")
+        found.append(in_blocks(counted, counted, ["bucket"], sketch, agreements("x", "y") >= least_agreements(threshold)).toDF("id_a", "id_b"))
     return reduce(DataFrame.unionAll, found), splits
 
 
@@ -408,20 +410,22 @@ def similar_texts(
     return cut(verify_pairs(candidates, texts, threshold, size)), members
 
 
-def in_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], carried: list[str] | None = None, keep: Column | None = None) -> DataFrame:
     """Pairs (a, b) of a ``left`` and a ``right`` row that agree on ``keys``, at most one block by one block in a task.
 
     Both sides hold the keys, id, and n_a and n_b, the number of blocks into which
     each side of the key is cut. Where both are the same set (``same``), each pair
-    comes once.
+    comes once. ``keep`` chooses pairs by the ``carried`` columns, as x and y.
     """
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(5)), F.col(n))
     every = lambda n, first=0: F.explode(F.sequence(F.lit(first).cast("bigint"), F.col(n) - 1))
-    x = left.select(*keys, "same", F.col("id").alias("a"), own("n_a").alias("i"), every("n_b").alias("j"))
-    y = right.select(*keys, F.col("id").alias("b"), own("n_b").alias("j"), every("n_a").alias("i"))
+    both = (lambda name: [F.struct(*carried).alias(name)]) if carried else (lambda name: [])
+    x = left.select(*keys, "same", *both("x"), F.col("id").alias("a"), own("n_a").alias("i"), every("n_b").alias("j"))
+    y = right.select(*keys, *both("y"), F.col("id").alias("b"), own("n_b").alias("j"), every("n_a").alias("i"))
     # Of the same set only blocks with i <= j meet, and in one block only a < b.
     once = F.expr("NOT same OR i < j OR (i = j AND a < b)")
-    return x.where("NOT same OR i <= j").join(y, [*keys, "i", "j"]).where(once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met_once = x.where("NOT same OR i <= j").join(y, [*keys, "i", "j"]).where(once)
+    return (met_once if keep is None else met_once.where(keep)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def every_pair(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -120,3 +120,14 @@ def test_sets_split_more_than_once_are_short_of_recall(spark):
 def test_a_set_never_meets_itself(spark):
     rows = spark.createDataFrame([(256, 1, 0, 0, 0, 0)], "bucket long, id long, s0 long, s1 long, s2 long, s3 long")
     assert near.split_rows(rows, 0, near.COORDINATES - 1).count() == 1  # the same values sampled each time
+
+
+def test_leaves_over_the_bucket_size_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET", 8)
+    monkeypatch.setattr(near, "LEVELS", 0)  # every bucket is a leaf
+    blocks, plain = [], near.in_blocks
+    monkeypatch.setattr(near, "in_blocks", lambda *a: blocks.append(a[0].agg({"n_a": "max"}).first()[0]) or plain(*a))
+    sets = spark.createDataFrame([(i, [5], 1, 2, 3, 4) for i in range(60)], "id long, mins array<int>, s0 long, s1 long, s2 long, s3 long")
+    pairs, _ = near.chosen_path_pairs(sets, 0.5, 1)
+    got = [tuple(r) for r in pairs.collect()]
+    assert blocks == [8] and sorted(got) == [(a, b) for a in range(60) for b in range(a + 1, 60)]
