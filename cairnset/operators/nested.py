@@ -83,8 +83,7 @@ def parse_whole(payload: Column) -> Column:
 
     Spark's parser stops after the first value and ignores what follows. So the
     text is parsed as the first of two elements, the second a hash of the text
-    that the text itself cannot hold: only if both come back is it whole. An
-    object that repeats a key counts as invalid.
+    that the text itself cannot hold: only if both come back is it whole.
     """
     mark = F.md5(payload)
     parsed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit(',"'), mark, F.lit('"]')))
@@ -102,9 +101,17 @@ def parse_documents(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
 
     Null, blank, truncated and otherwise invalid payloads, and roots that are no
     object, have no members, so they give no rows to any table. They are not
-    filtered here: a filter would parse each payload once more.
+    filtered here: a filter would parse each payload once more. Where an object
+    repeats a key, the last one counts: that is valid JSON. The parser takes this
+    setting when the expression is made, so the session gets its own back.
     """
-    return df.select(*keys, parse_whole(F.col(payload)).alias("node"), F.array().cast("array<int>").alias("label"))
+    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return df.select(*keys, parse_whole(F.col(payload)).alias("node"), F.array().cast("array<int>").alias("label"))
+    finally:
+        conf.set(name, before)
 
 
 def shred(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> dict[str, DataFrame]:

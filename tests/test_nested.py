@@ -71,3 +71,11 @@ def test_labels_link_children_to_parents(spark):
 def test_empty_table_and_long_payload(spark):
     assert found(spark) == []
     assert len(found(spark, one(*[loc("p" * 1000) for _ in range(3000)]))) == 3000
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    before = spark.conf.get("spark.sql.variant.allowDuplicateKeys")
+    good = json.dumps(one(loc("a.py", startLine=3)))
+    payloads = [good.replace('"startLine": 3', '"startLine": 3, "startLine": 5'), '{"runs": [], ' + good[1:], good[:-1] + ', "runs": []}', good]
+    assert [(r[0], r[5]) for r in found(spark, *payloads)] == [(0, "a.py:5"), (1, "a.py:3"), (3, "a.py:3")]
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
