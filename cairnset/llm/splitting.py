@@ -145,7 +145,7 @@ def split_text(text: str, encoder: Encoder, limit: int = LIMIT, overlap: int = O
         made = cuts and finish(units, cuts, encoder, limit)
         if made:
             return made
-        count += max(1, count // 50)
+        count += 1
     raise ValueError(f"no split within {limit} tokens")
 
 

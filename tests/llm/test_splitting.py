@@ -60,3 +60,10 @@ def test_rows(spark):
     assert splitting.split_texts(df.limit(0), "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         splitting.split_texts(df, "doc_id", "text", 8, 2)
+
+
+def test_no_count_of_pieces_is_skipped(monkeypatch):
+    tried, plain = [], splitting.place_cuts
+    monkeypatch.setattr(splitting, "place_cuts", lambda u, count, *a: tried.append(count) or (plain(u, count, *a) if len(tried) > 5 else None))
+    check("word and more. " * 800, 32, 8)
+    assert tried[0] >= 100 and tried == list(range(tried[0], tried[0] + len(tried)))
