@@ -1,28 +1,34 @@
 """New batches against all history (problem 5).
 
 An entry repeats an accepted one if their keys are equal or at least half of the
-digests found in either are found in both. Accepted entries live in a store of
-Parquet tables below the shared folder:
+digests found in either are found in both. Accepted entries live in a store
+below the shared folder that any later session can open again (``Store.open``).
+It is a list of segments, each written once:
 
 * ``prints``: fingerprints of keys and of winnowed digest sets, by bucket,
-* ``accepted``: key and digests of each accepted entry, by bucket of its id,
-* ``bloom``: one Bloom filter per bucket of fingerprints, a new version per batch.
-
-A batch is fingerprinted, prescreened against the Bloom filters, and only the
-positives are looked up, in the buckets that they fall in. Shared coverage is
-then verified on the digests, the order of arrival is resolved inside the batch,
-and prints, accepted entries and filters are updated.
+* ``entries``: key and digests of each accepted entry, by bucket of its id,
+* ``filters``: one Bloom filter per bucket of fingerprints.
+
+A batch is fingerprinted, prescreened against the filters of the buckets it
+falls in, and only the positives are looked up, in the buckets that hold them.
+Shared coverage is then verified on the digests and the order of arrival is
+resolved inside the batch. What is accepted becomes a new segment, together with
+the segments that are not much larger; so there are few of them, each is at
+least twice the size of the next, and an entry is written again only as often as
+the store doubles. A new segment chooses its buckets, filters and order for what
+it holds. A version of the manifest, written last, makes the batch count.
 
 Winnowing keeps, for every size that a partner can have, just the first digests
 in a fixed order of the set: two sets of n and m digests that agree enough share
 ceil((n + m) / 3), so their first n - that + 1 and m - that + 1 digests meet. The
-order puts digests that very many entries of the history share last, so they
-hardly ever become fingerprints. It only steers the cost; no match is lost.
+order takes the rarest digests first, by a count sketch of fixed size of all
+digests of the segment. It only steers the cost; no match is lost.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,6 +36,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,24 +44,24 @@ from cairnset.functions.digest import canonical_digest
 from cairnset.session import cut, scratch_path
 
 EXACT_SIZES = 16  #: sets of more digests are grouped by size, each group a quarter larger than the one before
-HOT_SHARE = 1 / 2000  #: a digest in more than this share of the history comes last in the order
-HOT_LEAST = 50  #: and in more than so many entries
-HOT_MOST = 20_000  #: so many of them at most, the most frequent (below digests per entry / HOT_SHARE in any case)
-BUCKET_PRINTS = 200_000  #: fingerprints of the history per bucket
-BLOOM_BITS = 12  #: bits per fingerprint, at twice the history's size
+SKETCH_BITS = 20  #: the count sketch of a segment has so many bits of a digest as places, one byte each
+BUCKET_PRINTS = 50_000  #: fingerprints of a segment per bucket
+MOST_BUCKETS = 16_384  #: buckets of a segment; beyond, they hold more fingerprints and have larger filters
+BLOOM_BITS = 12  #: bits per fingerprint, of each filter's own number: with 5 hashes 0.5 % pass by chance
 BLOOM_HASHES = 5
+GROWTH = 2  #: a segment is written again with what is added once it is less than so many times as large
 
 
 def prepare(entries: DataFrame) -> DataFrame:
-    """entry_id, batch_no, unit hashes of key and digest set, and the sorted digest hashes.
+    """entry_id, batch_no, hashes of key and digest set, and the sorted digests.
 
-    Keys and sets are named by 128-bit hashes (``key``, ``set_id``), null where
-    there is none; digests by 64-bit hashes. Null anchors, null elements and
+    Keys (``key``), sets (``set_id``) and digests are named by 128-bit hashes,
+    keys and sets null where there is none. Null anchors, null elements and
     null or blank digests count for nothing. Rows without entry_id are left out.
     """
     both = F.transform("anchors", lambda a: F.array(canonical_digest(a["sha256"]), canonical_digest(a["symbol_sha256"])))
     found = F.filter(F.flatten(F.filter(both, lambda x: x.isNotNull())), lambda x: x.isNotNull())
-    digests = F.array_sort(F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.xxhash64(x))))
+    digests = F.array_sort(F.array_distinct(F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.md5(x))))
     key = canonical_digest(F.col("identity_key"))
     named = entries.where("entry_id IS NOT NULL").select(
         "entry_id",
@@ -62,8 +69,7 @@ def prepare(entries: DataFrame) -> DataFrame:
         F.unhex(F.md5(F.concat(F.lit("k"), key))).alias("key"),
         digests.alias("digests"),
     )
-    set_id = F.when(F.size("digests") > 0, F.unhex(F.md5(F.array_join(F.col("digests").cast("array<string>"), ","))))
-    return named.withColumn("set_id", set_id)
+    return named.withColumn("set_id", F.when(F.size("digests") > 0, F.unhex(F.md5(F.array_join("digests", ",")))))
 
 
 def size_class(n: int) -> int:
@@ -87,46 +93,122 @@ def winnow(n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def set_prints(sets: DataFrame, hot: list[int]) -> DataFrame:
-    """Fingerprints of sets (set_id, digests): unit, own and other size class, fp as stored, probe to look up."""
-    last = np.array(sorted(hot), dtype=np.int64)
+def scramble(x: np.ndarray, salt: int) -> np.ndarray:
+    """Hashes 64-bit values, differently for each salt."""
+    x = (x ^ np.uint64(salt * 0xD1342543DE82EF95 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
+    return (scramble(prints, 3) % np.uint64(buckets)).astype(np.int32)
+
+
+def bloom_places(prints: np.ndarray, bits: int) -> np.ndarray:
+    """Bit places of fingerprints, one row per hash function."""
+    low, high = prints & np.uint64(0xFFFFFFFF), (prints >> np.uint64(32)) | np.uint64(1)
+    return np.array([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(BLOOM_HASHES)]).astype(np.int64)
+
+
+def leading_bits(values: pa.Array) -> np.ndarray:
+    """The first 64 bits of digests given as 32 hex digits."""
+    digits = np.array(values.to_pylist(), dtype="S32").view(np.uint8).reshape(-1, 32)[:, :16]
+    nibbles = np.where(digits >= 97, digits - 87, digits - 48).astype(np.uint64)
+    return (nibbles << np.arange(60, -1, -4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def set_prints(digests: pa.ListArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of digest sets, the rarest digests first: place of the set, print to store, print to look up."""
+    n = np.diff(digests.offsets.to_numpy()) * digests.is_valid().to_numpy(zero_copy_only=False)
+    made = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))]
+    if n.sum():
+        first = leading_bits(digests.flatten())
+        often = order[(first >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+        first = first[np.lexsort((first, often, np.repeat(np.arange(len(n)), n)))]
+        starts = np.cumsum(n) - n
+        for size in np.unique(n[n > 0]).tolist():
+            rows = np.flatnonzero(n == size)
+            sets, own = first[starts[rows][:, None] + np.arange(size)], size_class(size)
+            for other, kept in winnow(size):
+                d = sets[:, :kept].ravel()
+                made.append((np.repeat(rows, kept), scramble(d, own << 16 | other), scramble(d, other << 16 | own)))
+    return tuple(map(np.concatenate, zip(*made)))
+
+
+def key_prints(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Place and fingerprint of the 16-byte keys that are not null."""
+    rows = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
+    held = np.frombuffer(b"".join(k for k in keys.to_pylist() if k is not None), dtype=np.uint64)
+    return rows, scramble(held[::2], 0)
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def units_of(prepared: DataFrame) -> DataFrame:
+    """Distinct units of entries: keys (with null digests) and digest sets."""
+    none = F.lit(None).cast("array<string>")
+    both = F.array(F.struct(F.col("key").alias("unit"), none.alias("digests")), F.struct(F.col("set_id").alias("unit"), F.col("digests")))
+    rows = prepared.select(F.explode(both).alias("u")).select("u.*").where("unit IS NOT NULL")
+    return rows.groupBy("unit").agg(F.any_value("digests").alias("digests"))
+
+
+@dataclass
+class Segment:
+    """Part of a store: its number, how many entries and buckets it has, and the order of its digests."""
+
+    number: int
+    entries: int
+    buckets: int
+    order: np.ndarray
+
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """The order, sent to each executor once: 1 MiB at any size of the store."""
+        if not hasattr(self, "_shared"):
+            self._shared = spark.sparkContext.broadcast(self.order)
+        return self._shared
+
+
+def planned(number: int, rows: DataFrame) -> Segment:
+    """A segment for rows with digests: counts, buckets, and the order from a count sketch.
+
+    What comes to the driver is the sketch, at most 2^SKETCH_BITS counters
+    whatever the number of rows. A counter keeps the binary logarithm of its count.
+    """
+    place = F.conv(F.substring("d", 1, SKETCH_BITS // 4), 16, 10).cast("int").alias("place")
+    items = rows.select(F.explode(F.array_append(F.coalesce("digests", F.array().cast("array<string>")), F.lit(None))).alias("d"))
+    counted = items.groupBy(place).count().toArrow()
+    places, counts = (counted.column(k).to_pandas().to_numpy() for k in range(2))
+    there = ~pd.isna(places)
+    order = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+    order[places[there].astype(np.int64)] = np.log2(counts[there])
+    entries, digests = int(counts[~there].sum()), int(counts[there].sum())
+    buckets = min(MOST_BUCKETS, max(1, -(-(entries + 3 * digests) // BUCKET_PRINTS)))
+    return Segment(number, entries, buckets, order)
+
+
+def batch_prints(units: DataFrame, own: Segment, stored: list[Segment]) -> DataFrame:
+    """Fingerprints of units: of the batch itself (segment 0, fp and probe) and to look up in each stored segment."""
+    spark = units.sparkSession
+    orders = [(s.number, s.shared(spark), s.buckets) for s in (own, *stored)]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[tuple[int, int]]] = {}
         for batch in batches:
-            place, digest, own, other = [], [], [], []
-            for i, ds in enumerate(batch.column(1).to_pylist()):
-                n = len(ds)
-                if n not in known:
-                    known[n] = winnow(n)
-                common = np.isin(np.array(ds, dtype=np.int64), last)
-                if common.any():
-                    ds = [d for d, c in zip(ds, common) if not c] + [d for d, c in zip(ds, common) if c]
-                for c, k in known[n]:
-                    digest += ds[:k]
-                    other += [c] * k
-                    place += [i] * k
-                    own += [size_class(n)] * k
-            unit = batch.column(0).take(pa.array(place, pa.int64()))
-            arrays = [unit, pa.array(digest, pa.int64()), pa.array(own, pa.int32()), pa.array(other, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["unit", "digest", "own", "other"])
-
-    picked = sets.select("set_id", "digests").mapInArrow(pick, "unit binary, digest bigint, own int, other int")
-    return picked.select(
-        "unit",
-        "own",
-        "other",
-        F.xxhash64("digest", "own", "other").alias("fp"),
-        F.xxhash64("digest", "other", "own").alias("probe"),
-    )
-
+            unit, digests = batch.columns
+            is_key = digests.is_null()
+            where = np.flatnonzero(is_key.to_numpy(zero_copy_only=False))
+            _, key_probe = key_prints(unit.filter(is_key))
+            for number, order, buckets in orders:
+                row, fp, probe = set_prints(digests, order.value)
+                if number:  # equal keys of one batch meet by the key itself
+                    row, fp, probe = np.r_[where, row], np.r_[key_probe, fp], np.r_[key_probe, probe]
+                columns = [pa.array(np.full(len(row), number, np.int32)), unit.take(pa.array(row))]
+                columns += [signed(fp), signed(probe), pa.array(bucket_of(probe, buckets))]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "unit", "fp", "probe", "bucket"])
 
-def key_prints(keys: DataFrame) -> DataFrame:
-    """Fingerprints of keys, in the form of ``set_prints``."""
-    fp = F.xxhash64("key")
-    return keys.select(
-        F.col("key").alias("unit"), F.lit(0).alias("own"), F.lit(0).alias("other"), fp.alias("fp"), fp.alias("probe")
-    )
+    return units.select("unit", "digests").mapInArrow(pick, "segment int, unit binary, fp bigint, probe bigint, bucket int")
 
 
 def covers(x: Column, y: Column) -> Column:
@@ -135,8 +217,9 @@ def covers(x: Column, y: Column) -> Column:
 
 
 SCHEMAS = {
-    "prints": "fp bigint, id bigint, bucket int",
-    "accepted": "id bigint, key binary, set_id binary, digests array<bigint>, bucket int",
+    "prints": "segment int, fp bigint, id bigint, home int",
+    "entries": "id bigint, key binary, digests array<string>",
+    "filters": "segment int, bucket int, bits binary",
 }
 
 
@@ -146,174 +229,189 @@ class Store:
 
     spark: SparkSession
     path: str
-    buckets: int = 0
-    bits: int = 0
-    hot: list[int] = field(default_factory=list)
-    batches: int = 0
-
-    @property
-    def empty(self) -> bool:
-        return self.batches == 0
-
-    def bucket_of(self, c: Column) -> Column:
-        return F.pmod(F.xxhash64(c, F.lit(1)), F.lit(self.buckets)).cast("int")
-
-    def read(self, name: str) -> DataFrame:
-        paths = [f"{self.path}/{name}/batch={b}" for b in range(self.batches)]
-        read = self.spark.read.schema(SCHEMAS[name] + ", batch int").option("basePath", f"{self.path}/{name}")
-        return read.parquet(*paths).drop("batch")
-
-    def bloom(self) -> DataFrame:
-        return self.spark.read.schema("bucket int, bits binary").parquet(f"{self.path}/bloom/{self.batches - 1}")
-
-    def plan(self, history: DataFrame) -> None:
-        """Chooses order, buckets and filter size from the first batch; only speed depends on them."""
-        entries, digests = history.agg(F.count("*"), F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()
-        shared = history.select(F.explode("digests").alias("d")).groupBy("d").count()
-        often = shared.where(F.col("count") > max(HOT_LEAST, entries * HOT_SHARE))
-        self.hot = [r[0] for r in often.orderBy(F.desc("count"), "d").limit(HOT_MOST).collect()]
-        prints = entries + 3 * digests
-        self.buckets = int(min(4096, max(16, -(-prints // BUCKET_PRINTS))))
-        self.bits = 1 << max(13, math.ceil(math.log2(2 * BLOOM_BITS * (prints / self.buckets + 1))))
-
-    def screen(self, probes: DataFrame) -> DataFrame:
-        """The probes (distinct) that the bucket's Bloom filter may hold."""
-        bits = self.bits
+    version: int = 0
+    segments: list[Segment] = field(default_factory=list)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Store:
+        """The store as its last whole batch left it, in this or any later session."""
+        rows = spark.read.parquet(f"{path}/manifest")
+        last = rows.agg(F.max("version")).first()[0]
+        held = sorted(rows.where(F.col("version") == last).collect(), key=lambda r: r["place"])
+        segments = [
+            Segment(r["segment"], r["entries"], r["buckets"], np.frombuffer(zlib.decompress(r["sketch"]), dtype=np.uint8)) for r in held if r["segment"]
+        ]
+        return cls(spark, path, last, segments)
+
+    def commit(self, segments: list[Segment]) -> None:
+        """Makes ``segments`` the store, by one new version of the manifest."""
+        rows = [(n, s.number, s.entries, s.buckets, zlib.compress(s.order.tobytes())) for n, s in enumerate(segments)]
+        rows = rows or [(0, 0, 0, 0, b"")]  # nothing accepted yet
+        made = self.spark.createDataFrame(rows, "place int, segment int, entries bigint, buckets int, sketch binary").coalesce(1)
+        made.write.parquet(f"{self.path}/manifest/version={self.version + 1}")
+        self.version, self.segments = self.version + 1, segments
+
+    def read(self, name: str, parts: DataFrame) -> DataFrame:
+        """The rows of the (segment, part) pairs in ``parts``, at most as many as there are buckets."""
+        paths = [f"{self.path}/{s}/{name}/part={k}" for s, k in sorted(tuple(r) for r in parts.distinct().collect())]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def screen(self, prints: DataFrame) -> DataFrame:
+        """The distinct (segment, bucket, probe) that the bucket's Bloom filter may hold."""
+        probes = prints.where("segment > 0").select("segment", "bucket", "probe")
+        filters = self.read("filters", probes.select("segment", "bucket"))
 
         def test(mine: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             if mine.empty or filters.empty:
-                return mine.iloc[:0][["probe", "bucket"]]
+                return mine.iloc[:0]
             held = np.frombuffer(filters["bits"].iloc[0], dtype=np.uint8)
-            at = bloom_places(mine["probe"].to_numpy(), bits)
-            there = (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0)
-            return mine.loc[there, ["probe", "bucket"]]
+            at = bloom_places(mine["probe"].to_numpy().view(np.uint64), 8 * len(held))
+            return mine[(held[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0)]
 
-        placed = probes.withColumn("bucket", self.bucket_of(F.col("probe")))
-        return placed.groupBy("bucket").cogroup(self.bloom().groupBy("bucket")).applyInPandas(test, "probe bigint, bucket int")
+        keys = ["segment", "bucket"]
+        return probes.distinct().groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInPandas(test, "segment int, bucket int, probe bigint")
 
-    def lookup(self, prints: DataFrame, prepared: DataFrame) -> DataFrame:
+    def lookup(self, prints: DataFrame, units: DataFrame) -> DataFrame:
         """(unit, id): accepted entries that share the key, or cover the set, of a unit.
 
-        Both tables are partitioned by bucket and joined on it, so Spark prunes
-        the buckets in which no positive falls.
+        Only buckets that hold a positive are read, and of the entries only the
+        buckets of ids that a positive names.
         """
-        positive = self.screen(prints.select("probe").distinct()).withColumnRenamed("probe", "fp")
-        hits = self.read("prints").join(positive, ["bucket", "fp"]).select(F.col("fp").alias("probe"), "id")
-        candidates = prints.join(hits, "probe").select("unit", "id").distinct().withColumn("bucket", self.bucket_of(F.col("id")))
-        accepted = self.read("accepted").select("bucket", "id", "key", "digests")
-        sets = prepared.where("set_id IS NOT NULL").groupBy("set_id").agg(F.any_value("digests").alias("mine"))
-        joined = candidates.join(accepted, ["bucket", "id"]).join(sets, F.col("unit") == F.col("set_id"), "left")
-        same = F.when(F.col("set_id").isNull(), F.col("key") == F.col("unit")).otherwise(covers(F.col("mine"), F.col("digests")))
+        positive = cut(self.screen(prints))
+        there = self.read("prints", positive.select("segment", "bucket"))
+        probe = ["segment", "probe"]
+        hits = there.withColumnRenamed("fp", "probe").join(positive.select(*probe), probe)
+        candidates = cut(prints.join(hits, probe).select("unit", "segment", "home", "id").distinct())
+        held = self.read("entries", candidates.select("segment", "home"))
+        joined = candidates.select("unit", "id").join(held, "id").join(units.withColumnRenamed("digests", "mine"), "unit")
+        same = F.when(F.col("mine").isNull(), F.col("key") == F.col("unit")).otherwise(covers(F.col("mine"), F.col("digests")))
         return joined.where(same).select("unit", "id")
 
-    def add(self, accepted: DataFrame) -> DataFrame:
-        """Writes accepted entries and gives them back (id, key, set_id) from the store."""
-        rows = accepted.select(F.col("entry_id").alias("id"), "key", "set_id", "digests", self.bucket_of(F.col("entry_id")).alias("bucket"))
-        path = f"{self.path}/accepted/batch={self.batches}"
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return self.spark.read.schema(SCHEMAS["accepted"]).parquet(path).select("id", "key", "set_id")
-
-    def update(self, added: DataFrame, prints: DataFrame) -> None:
-        """Adds the fingerprints of the entries just added, and new versions of the Bloom filters."""
-        b, bits = self.batches, self.bits
-        units = added.select("id", F.explode(F.array("key", "set_id")).alias("unit"))
-        new = (
-            prints.join(units.where("unit IS NOT NULL"), "unit")
-            .select("fp", "id", self.bucket_of(F.col("fp")).alias("bucket"))
-            .repartition("bucket")
-            .sortWithinPartitions("bucket", "fp")
-        )
-        new.write.partitionBy("bucket").parquet(f"{self.path}/prints/batch={b}")
-
-        def merge(mine: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-            held = np.zeros(bits // 8, dtype=np.uint8)
-            if not filters.empty:
-                held |= np.frombuffer(filters["bits"].iloc[0], dtype=np.uint8)
-            bucket = (filters if mine.empty else mine)["bucket"].iloc[0]
-            at = np.unique(bloom_places(mine["fp"].to_numpy(), bits))
+    def add(self, accepted: DataFrame) -> None:
+        """Adds entries (id, key, digests), with the segments that are not much larger written into the same new one."""
+        size, kept, rows = accepted.count(), list(self.segments), [accepted.select("id", "key", "digests")]
+        while size and kept and kept[-1].entries < GROWTH * size:
+            old = kept.pop()
+            rows.append(self.spark.read.schema(SCHEMAS["entries"]).parquet(f"{self.path}/{old.number}/entries").select("id", "key", "digests"))
+            size += old.entries
+        if size:
+            kept.append(self.write_segment(reduce(DataFrame.unionAll, rows)))
+        self.commit(kept)
+
+    def write_segment(self, rows: DataFrame) -> Segment:
+        """A new segment of rows (id, key, digests); its files are not part of the store before ``commit``."""
+        made = planned(self.version + 1, rows)
+        path, number, buckets, order = f"{self.path}/{made.number}", made.number, made.buckets, made.shared(self.spark)
+
+        def write(table: DataFrame, name: str) -> None:
+            table.write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}")
+
+        def read(name: str) -> DataFrame:
+            return self.spark.read.schema(f"{SCHEMAS[name]}, part int").parquet(f"{path}/{name}")
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, fp, _ = set_prints(batch.column(2), order.value)
+                key_row, key_fp = key_prints(batch.column(1))
+                at, fps = pa.array(np.r_[key_row, row]), np.r_[key_fp, fp]
+                columns = [pa.array(np.full(len(fps), number, np.int32)), signed(fps), batch.column(0).take(at), batch.column(3).take(at)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bucket_of(fps, buckets))], names=["segment", "fp", "id", "home", "part"])
+
+        def build(mine: pd.DataFrame) -> pd.DataFrame:
+            held = np.zeros(-(-BLOOM_BITS * len(mine) // 64) * 8, dtype=np.uint8)
+            at = np.unique(bloom_places(mine["fp"].to_numpy().view(np.uint64), 8 * len(held)))
             np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-            return pd.DataFrame({"bucket": [bucket], "bits": [held.tobytes()]})
-
-        there = self.spark.read.schema(SCHEMAS["prints"]).parquet(f"{self.path}/prints/batch={b}").select("fp", "bucket").distinct()
-        before = self.spark.createDataFrame([], "bucket int, bits binary") if self.empty else self.bloom()
-        merged = there.groupBy("bucket").cogroup(before.groupBy("bucket")).applyInPandas(merge, "bucket int, bits binary")
-        merged.write.parquet(f"{self.path}/bloom/{b}")
-        self.batches += 1
+            bucket = mine["part"].iloc[0]
+            return pd.DataFrame({"segment": [number], "bucket": [bucket], "bits": [held.tobytes()], "part": [bucket]})
 
+        write(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).hint("rebalance", "part"), "entries")
+        prints = read("entries").mapInArrow(pick, f"{SCHEMAS['prints']}, part int")
+        # A fingerprint that very many entries share makes its bucket large: such a bucket is written by several tasks.
+        write(prints.hint("rebalance", "part").sortWithinPartitions("part", "fp"), "prints")
+        distinct = read("prints").select("part", "fp").distinct()
+        write(distinct.groupBy("part").applyInPandas(build, f"{SCHEMAS['filters']}, part int"), "filters")
+        return made
 
-def bloom_places(values: np.ndarray, bits: int) -> np.ndarray:
-    """Bit places of 64-bit hashes, one row per hash function."""
-    v = values.astype(np.int64).view(np.uint64)
-    low, high = v & np.uint64(0xFFFFFFFF), (v >> np.uint64(32)) | np.uint64(1)
-    return np.array([(low + np.uint64(i) * high) % np.uint64(bits) for i in range(BLOOM_HASHES)]).astype(np.int64)
 
-
-def batch_links(prints: DataFrame, prepared: DataFrame) -> DataFrame:
+def batch_links(prints: DataFrame, units: DataFrame) -> DataFrame:
     """(set_a, set_b), both ways: different digest sets of one batch that cover each other."""
-    own = prints.where("own > 0")
-    meet = F.expr("a.probe = b.fp AND (a.own < a.other OR (a.own = a.other AND a.unit < b.unit))")
+    own = prints.where("segment = 0")
+    meet = F.expr("a.probe = b.fp AND a.unit < b.unit")
     pairs = own.alias("a").join(own.alias("b"), meet).select(F.col("a.unit").alias("set_a"), F.col("b.unit").alias("set_b")).distinct()
-    sets = prepared.where("set_id IS NOT NULL").groupBy("set_id").agg(F.any_value("digests").alias("d"))
+    sets = units.where("digests IS NOT NULL")
     checked = pairs.join(sets.toDF("set_a", "x"), "set_a").join(sets.toDF("set_b", "y"), "set_b").where(covers(F.col("x"), F.col("y")))
     both = F.explode(F.array(F.struct("set_a", "set_b"), F.struct(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b"))))
     return checked.select(both.alias("p")).select("p.*")
 
 
-def reached_units(prepared: DataFrame, links: DataFrame) -> DataFrame:
-    """(entry_id, unit, own): the key and set of each entry, and the sets linked with its set."""
-    own = prepared.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
-    near = own.join(links, F.col("unit") == F.col("set_a")).select("entry_id", F.col("set_b").alias("unit"), F.lit(False).alias("own"))
-    return own.withColumn("own", F.lit(True)).unionAll(near)
-
+def contenders(prepared: DataFrame, reach: DataFrame) -> DataFrame:
+    """(entry_id, unit, own): what the entries that can still be accepted own, and the linked sets they reach.
 
-def first_come(prepared: DataFrame, reached: DataFrame, known: DataFrame | None) -> DataFrame:
-    """entry_id of those accepted when the entries are taken in order of entry_id.
-
-    ``known`` names the units that the store holds already; their entries are
-    out from the start. Then rounds: an entry is accepted once no earlier
-    undecided entry owns a unit it reaches; then all that reach its units are
-    out. Entries of equal keys or sets wait for the smallest of them and are
-    never paired. Rounds are as many as the longest chain of entries that wait
-    for each other.
+    Of entries with equal key and set only the first can be accepted, and none
+    of those that own a unit with a stored ``id`` in ``reach`` (unit, other, id).
+    """
+    first = prepared.where("key IS NOT NULL OR set_id IS NOT NULL").groupBy("key", "set_id").agg(F.min("entry_id").alias("entry_id"))
+    own = first.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
+    stopped = own.join(reach.where("id IS NOT NULL").select("unit").distinct(), "unit").select("entry_id").distinct()
+    left = own.join(stopped, "entry_id", "left_anti")
+    linked = reach.where("other IS NOT NULL").select("unit", "other")
+    near = left.join(linked, "unit").select("entry_id", F.col("other").alias("unit"), F.lit(False).alias("own"))
+    return left.withColumn("own", F.lit(True)).unionAll(near)
+
+
+def first_come(spark: SparkSession, reached: DataFrame, path: str) -> DataFrame:
+    """entry_id of those accepted when the contenders are taken in order of entry_id.
+
+    In each round an entry looks at the first owner, not yet out, of each unit it
+    reaches: if none comes before it, it is accepted; if the earliest of them is
+    accepted, it is out; else it waits. Rounds are as many as the longest chain
+    of entries that wait for each other. Entries of one unit wait for its first
+    owner and are never paired.
     """
-    undecided, rounds = prepared.select("entry_id"), []
-    if known is not None:
-        stopped = reached.where("own").join(known.select("unit").distinct(), "unit").select("entry_id")
-        undecided = undecided.join(stopped.distinct(), "entry_id", "left_anti")
+    left, number = reached, 0
     while True:
-        asked = reached.join(undecided, "entry_id")
-        first = asked.where("own").groupBy("unit").agg(F.min("entry_id").alias("first"))
-        waits = asked.join(first, "unit").groupBy("entry_id").agg(F.bool_or(F.col("first") < F.col("entry_id")).alias("waits"))
-        wins = ~F.coalesce("waits", F.lit(False))
-        state = cut(undecided.join(waits, "entry_id", "left").select("entry_id", wins.alias("won")))
-        won = state.where("won").select("entry_id")
-        rounds.append(won)
-        if state.where("NOT won").isEmpty():
-            return reduce(DataFrame.unionAll, rounds)
-        taken = reached.where("own").join(won, "entry_id").select("unit")
-        out = reached.join(taken.distinct(), "unit").select("entry_id").distinct()
-        undecided = state.where("NOT won").select("entry_id").join(out, "entry_id", "left_anti")
+        first = left.where("own").groupBy("unit").agg(F.min("entry_id").alias("first"))
+        seen = left.join(first, "unit").groupBy("entry_id").agg(F.min("first").alias("before"))
+        seen.write.mode("overwrite").parquet(f"{path}/{number}")
+        state = spark.read.schema("entry_id bigint, before bigint").parquet(f"{path}/{number}")
+        won = state.where("before = entry_id").select(F.col("entry_id").alias("before"))
+        if state.where("before < entry_id").join(won, "before", "left_anti").isEmpty():
+            return won.select(F.col("before").alias("entry_id"))
+        out = state.where("before < entry_id").join(won, "before").select("entry_id")
+        left = reached.join(state.select("entry_id").join(out, "entry_id", "left_anti"), "entry_id", "left_semi")
+        number += 1
 
 
 def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
-    """Checks a prepared batch against the store, adds what is accepted, and gives (accepted_id, entry_id)."""
-    if store.empty:
-        store.plan(prepared)
-    keys = prepared.where("key IS NOT NULL").select("key").distinct()
-    sets = prepared.where("set_id IS NOT NULL").groupBy("set_id").agg(F.any_value("digests").alias("digests"))
-    prints = cut(key_prints(keys).unionAll(set_prints(sets, store.hot)))
-    reached = cut(reached_units(prepared, batch_links(prints, prepared)))
-    known = None if store.empty else cut(store.lookup(prints, prepared))
-    own = store.add(prepared.join(first_come(prepared, reached, known), "entry_id"))
-
-    units = own.select("id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
-    rejected = reached.join(own.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
-    found = rejected.join(units, "unit").where("id < entry_id").select(F.col("id").alias("accepted_id"), "entry_id")
-    if known is not None:
-        found = found.unionAll(rejected.where("own").join(known, "unit").select(F.col("id").alias("accepted_id"), "entry_id"))
-    result = cut(found.distinct())
-    store.update(own, prints)
-    return result
+    """Checks a prepared batch against the store, adds what is accepted, and gives (accepted_id, entry_id).
+
+    A batch that failed on the way has changed nothing and is given again.
+    """
+    spark, path = store.spark, f"{store.path}/found/version={store.version + 1}"
+    units = cut(units_of(prepared))
+    prints = cut(batch_prints(units, planned(0, units), store.segments))
+    reach = batch_links(prints, units).select(F.col("set_a").alias("unit"), F.col("set_b").alias("other"), F.lit(None).cast("bigint").alias("id"))
+    if store.segments:
+        reach = reach.unionByName(store.lookup(prints, units), allowMissingColumns=True)
+    reach = cut(reach)
+    won = first_come(spark, cut(contenders(prepared, reach)), scratch_path(spark, "rounds"))
+    unnamed = prepared.where("key IS NULL AND set_id IS NULL").select("entry_id")
+    accepted = cut(prepared.join(won.unionAll(unnamed), "entry_id", "left_semi").select(F.col("entry_id").alias("id"), "key", "set_id", "digests"))
+
+    owned = accepted.select("id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL").select("unit", "id")
+    near = reach.where("other IS NOT NULL").select(F.col("unit").alias("to"), F.col("other").alias("unit")).join(owned, "unit").select("to", "id")
+    now = owned.unionAll(near).withColumn("stored", F.lit(False))
+    hits = now.unionAll(reach.where("id IS NOT NULL").select("unit", "id", F.lit(True)))
+    asked = prepared.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit"))
+    found = asked.join(hits, "unit").where("stored OR id < entry_id").select(F.col("id").alias("accepted_id"), "entry_id")
+    found.distinct().write.mode("overwrite").parquet(path)
+    store.add(accepted)
+    return spark.read.schema("accepted_id bigint, entry_id bigint").parquet(path)
+
+
+def add_batch(store: Store, entries: DataFrame) -> DataFrame:
+    """One arriving batch of intake entries against an open store: (accepted_id, entry_id)."""
+    return accept_batch(store, cut(prepare(entries).drop("batch_no")))
 
 
 def repeated_entries(entries: DataFrame) -> DataFrame:
@@ -328,9 +426,9 @@ def repeated_entries(entries: DataFrame) -> DataFrame:
     ready = prepare(entries)
     ready.write.partitionBy("batch_no").parquet(f"{path}/prepared")
     prepared = spark.read.schema(ready.schema).parquet(f"{path}/prepared")
-    results = spark.createDataFrame([], "accepted_id bigint, entry_id bigint")
-    numbers = sorted(r[0] for r in prepared.select("batch_no").distinct().collect())
-    store = Store(spark, path)
-    for number in numbers:
-        results = results.unionAll(accept_batch(store, prepared.where(F.col("batch_no") == number).drop("batch_no")))
-    return results
+    store = Store(spark, f"{path}/store")
+    for number in sorted(r[0] for r in prepared.select("batch_no").distinct().collect()):
+        accept_batch(store, prepared.where(F.col("batch_no") == number).drop("batch_no"))
+    found = [f"{store.path}/found/version={v + 1}" for v in range(store.version)]
+    schema = "accepted_id bigint, entry_id bigint"
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)

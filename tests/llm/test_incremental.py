@@ -1,8 +1,11 @@
 """Batches beside a plain loop over arrivals."""
 
 import collections
+import os
 import random
 
+import numpy as np
+
 from cairnset.llm import incremental
 
 ANCHOR = "struct<locator:string,path:string,sha256:string,symbol:string,symbol_sha256:string>"
@@ -51,7 +54,7 @@ def made(seed, n, batches, digests):
 
 
 def test_against_plain_loop(spark, monkeypatch):
-    monkeypatch.setattr(incremental, "HOT_LEAST", 3)
+    monkeypatch.setattr(incremental, "BUCKET_PRINTS", 200)
     rows = made(4, 300, 2, 60)
     assert found(spark, rows) == brute(rows)
 
@@ -83,3 +86,39 @@ def test_winnowing_never_misses():
         px = dict(incremental.winnow(n))[incremental.size_class(m)]
         py = dict(incremental.winnow(m))[incremental.size_class(n)]
         assert set(x[:px]) & set(y[:py])
+
+
+def test_a_store_opens_again_and_reads_what_a_batch_touches(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(incremental, "BUCKET_PRINTS", 50)
+    rows = made(7, 900, 1, 4000)
+    batches = [[r for r in rows if r[1] == b] for b in (0, 1)]
+    last = [batches[0][3][:1] + (9,) + batches[0][3][2:], (5000, 9, None, [("l", "p", "f" * 64, None, None)], "x", 1)]
+    last[0] = (4000, *last[0][1:])
+    first = incremental.Store(spark, str(tmp_path))
+    got = set()
+    for batch in batches:
+        got |= {tuple(r) for r in incremental.add_batch(first, spark.createDataFrame(batch, SCHEMA)).collect()}
+
+    read, plain = collections.Counter(), incremental.Store.read
+
+    def noted(store, name, parts):
+        df = plain(store, name, parts)
+        read[name] += sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in df.inputFiles())
+        return df
+
+    again = incremental.Store.open(spark.newSession(), str(tmp_path))
+    assert [(s.number, s.entries, s.buckets) for s in again.segments] == [(s.number, s.entries, s.buckets) for s in first.segments]
+    monkeypatch.setattr(incremental.Store, "read", noted)
+    got |= {tuple(r) for r in incremental.add_batch(again, again.spark.createDataFrame(last, SCHEMA)).collect()}
+    assert got == brute(rows + last)
+    whole = sum(f.stat().st_size for s in first.segments for f in (tmp_path / str(s.number)).rglob("*.parquet"))
+    assert min(s.buckets for s in first.segments[:1]) > 20 and 0 < sum(read.values()) < whole / 4
+
+
+def test_filters_let_few_pass_by_chance(spark, tmp_path):
+    store = incremental.Store(spark, str(tmp_path))
+    incremental.add_batch(store, spark.createDataFrame(made(8, 600, 1, 10_000), SCHEMA)).count()
+    values = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 20_000)
+    buckets = incremental.bucket_of(values.view(np.uint64), store.segments[0].buckets)
+    probes = spark.createDataFrame([(1, int(b), int(v)) for b, v in zip(buckets, values)], "segment int, bucket int, probe long")
+    assert store.screen(probes).count() < 0.02 * len(values)
