@@ -38,14 +38,12 @@ def is_digest(c: Column) -> Column:
     return F.coalesce(c.rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
 
 
-def set_fingerprint(member: Column, prefix: str) -> list[Column]:
-    """Order-free aggregate of a set of distinct members: its size and two 64-bit xors.
+def bytes_digest(c: Column) -> Column:
+    """``sha256:`` digest of binary content; null stays null."""
+    return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
-    The input of the aggregation must already be distinct. Unlike a collected
-    set its state is 24 bytes, whatever the size of the group.
-    """
-    return [
-        F.count(member).alias(f"{prefix}_n"),
-        F.bit_xor(F.xxhash64(member)).alias(f"{prefix}_x"),
-        F.bit_xor(F.xxhash64(member, F.lit(prefix))).alias(f"{prefix}_y"),
-    ]
+
+def digest_holds(expected: Column, content: Column) -> Column:
+    """Whether binary content has the expected digest; an expectation that is no digest is an error."""
+    wrong = F.raise_error(F.concat(F.lit("not a digest: "), F.coalesce(expected, F.lit("null"))))
+    return F.when(is_digest(expected), bytes_digest(content) == expected).otherwise(wrong.cast("boolean"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +16,25 @@ STOP_WORDS = [
 
 #: Fixed value: what ends a line, the two-character form first.
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
-#: Fixed value: a path with an optional line or line range, numbers without leading zero.
-LOCATOR = "(?s)^(.+?)(?::([1-9][0-9]*)(?:-([1-9][0-9]*))?)?$"
+#: Fixed value: a path on one line, with an optional line or line range, numbers without leading zero.
+LOCATOR = "^([^\\n]+?)(?::([1-9][0-9]*)(?:-([1-9][0-9]*))?)?$"
+#: Fixed value: how a weakness number is spelled.
+WEAKNESS = "cwe[-_ ]?([0-9]{1,5})"
 QUOTED_LINES = 40
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda's argument is, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text; a line end at the very end opens no further line; null stays null."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    def closed(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+    return once(F.split(text, LINE_END, -1), closed)
 
 
 def first_line(text: Column) -> Column:
@@ -43,9 +56,25 @@ def parse_locator(locator: Column) -> dict[str, Column]:
     return {"path": path, "start_line": start, "end_line": F.coalesce(part[2].cast("bigint"), start)}
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty and ``.`` steps, ``x/..`` taken out; null stays null.
+
+    A path that starts at the root, or leaves the tree by ``..``, keeps what tells so
+    and matches no file of the tree.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("..")), done), -1), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), done).when(back, F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    joined = F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+    return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("/"), joined)).otherwise(joined)
+
+
 def normalise_weakness(value: Column) -> Column:
     """``CWE-n`` for each number named, distinct, in numeric order, joined by ``+``; none gives null."""
-    found = F.regexp_extract_all(F.lower(value), F.lit("cwe[-_ ]?([0-9]{1,5})"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(value), F.lit(WEAKNESS), F.lit(1))
     numbers = F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
     return F.nullif(F.array_join(F.transform(numbers, lambda n: F.concat(F.lit("CWE-"), n.cast("string"))), "+"), F.lit(""))
 
@@ -63,6 +92,12 @@ def neutralise_fence(text: Column) -> Column:
 
 
 def fenced(text: Column, label: str) -> Column:
-    """The text between marker lines; markers inside it are broken first."""
-    inner = F.regexp_replace(neutralise_fence(text), f"<(?=/?{label}>)", "<​")
+    """The text between marker lines of ``label``, which must be 1 to 32 of ``A-Z 0-9 -``; markers inside it are broken first.
+
+    Any marker is broken, of whatever label and letter case, so no text can close
+    its own fence or open another one.
+    """
+    if not re.fullmatch("[A-Z0-9-]{1,32}", label):
+        raise ValueError(f"not a label: {label!r}")
+    inner = F.regexp_replace(neutralise_fence(text), "(?i)<(?=/?[a-z0-9-]{1,32}>)", "<\u200b")
     return F.concat(F.lit(f"<{label}>\n"), inner, F.lit(f"\n</{label}>"))

@@ -26,11 +26,6 @@ NODE_SCHEMA = (
 )
 
 
-def _name_called(node: ast.Call) -> str | None:
-    target = node.func
-    return target.id if isinstance(target, ast.Name) else target.attr if isinstance(target, ast.Attribute) else None
-
-
 def syntax_nodes(path: str, text: str) -> list[dict]:
     """Functions and calls of one file in the order they are met; a single failure row if it is not Python."""
     try:
@@ -50,14 +45,20 @@ def syntax_nodes(path: str, text: str) -> list[dict]:
                     "decorators": [ast.unparse(d) for d in node.decorator_list],
                 }
             )
-        elif isinstance(node, ast.Call) and (callee := _name_called(node)):
-            rows.append({"path": path, "kind": "call", "caller": f"{path}::{inside}", "callee": callee})
+        elif isinstance(node, ast.Call):  # a plain name or the last part of a dotted one; other calls have no name
+            callee = getattr(node.func, "id", None) or getattr(node.func, "attr", None)
+            if callee:
+                rows.append({"path": path, "kind": "call", "caller": f"{path}::{inside}", "callee": callee})
         waiting.extend((child, inside) for child in reversed(list(ast.iter_child_nodes(node))))
     return rows
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Syntax nodes of files (path, text) of up to a megabyte; larger ones and null texts are passed over."""
+    """Syntax nodes of files (path, text); null texts are passed over.
+
+    A file of more than a megabyte is not parsed and gives one row of kind
+    ``too_large``, so that what it holds counts as not determinable.
+    """
     columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,8 +67,10 @@ def parse_files(files: DataFrame) -> DataFrame:
             frame = pd.DataFrame(rows, columns=columns).astype(object)
             yield frame.where(frame.notna(), None)
 
-    small = files.where(F.octet_length("text") <= LARGEST_FILE)
-    return small.select("path", "text").mapInPandas(parse, NODE_SCHEMA)
+    size = F.octet_length("text")
+    parsed = files.where(size <= LARGEST_FILE).select("path", "text").mapInPandas(parse, NODE_SCHEMA)
+    large = files.where(size > LARGEST_FILE).select("path", F.lit("too_large").alias("kind"))
+    return parsed.unionByName(large, allowMissingColumns=True)
 
 
 def functions_of(nodes: DataFrame) -> DataFrame:
@@ -83,7 +86,8 @@ def calls_of(nodes: DataFrame) -> DataFrame:
 
 
 def failures_of(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind = 'failure'").select("path")
+    """Files whose functions are not known: no Python, or too large to parse."""
+    return nodes.where("kind IN ('failure', 'too_large')").select("path")
 
 
 def enclosing(points: DataFrame, functions: DataFrame) -> DataFrame:
@@ -103,7 +107,7 @@ def enclosing(points: DataFrame, functions: DataFrame) -> DataFrame:
     )
     joined = placed.join(laid, inside, "left")
     innermost = F.min_by(
-        F.struct("name", "start_line", "end_line", "is_entry"), F.struct(F.col("end_line") - F.col("start_line"), "seq")
+        F.struct("name", "start_line", "end_line", "is_entry"), F.struct(F.col("end_line") - F.col("start_line"), "seq", "name")
     )
     return joined.groupBy("ord", "pos", "path", "line").agg(innermost.alias("f")).select("ord", "pos", "path", "line", "f.*")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairnset.functions.digest import text_digest
 from cairnset.functions.text import normalise_weakness, title_tokens
+from cairnset.session import cut
 
 ARRIVALS_PER_CELL = 65_536
 
@@ -50,10 +51,19 @@ def identities(claims: DataFrame, anchored: DataFrame) -> DataFrame:
 
 
 def merges(claims: DataFrame, named: DataFrame) -> DataFrame:
-    """Groups of more than one claim: size, first claim, distinct tools and weaknesses in order of first use."""
-    grouped = named.select("ord", "identity_key", "kind").join(claims.select("ord", "tool"), "ord")
+    """Groups of more than one claim: size, first claim, titles counted, tools and weaknesses in order of first use.
+
+    Claims carry ord, tool, title and weakness as spelled. A group has no bound,
+    so its claim ids and titles are rows (``merge_members``, ``merge_titles`` of
+    the queries); lists are made of tools and weaknesses, which are few.
+    """
+    grouped = cut(named.select("ord", "identity_key", "kind").join(claims.select("ord", "tool", "title", "weakness"), "ord"))
     sizes = grouped.groupBy("identity_key", "kind").agg(F.count("*").alias("size"), F.min("ord").alias("first_ord"))
-    return sizes.where("size > 1").join(first_use_list(grouped, "identity_key", "tool", "tools"), "identity_key", "left")
+    titles = grouped.where("title <> ''").select("identity_key", "title").distinct().groupBy("identity_key").agg(F.count("*").alias("titles"))
+    listed = sizes.where("size > 1").join(titles, "identity_key", "left").na.fill(0, ["titles"])
+    for value, name in (("tool", "tools"), ("weakness", "weaknesses")):
+        listed = listed.join(first_use_list(grouped, "identity_key", value, name), "identity_key", "left")
+    return listed
 
 
 def first_use_list(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import blank_to_null, canonical_digest
-from cairnset.operators import callgraph, folds, snapshots
+from cairnset.operators import folds, snapshots
 from cairnset.plans import triage
 from cairnset.plans.numbered import STATES_SQL, digest_sql
+from cairnset.plans.sites import GRAPH, SITES, GivenSites, claim_rows
 from cairnset.sources.tables import table
 
 
 def merge_titles(spark: SparkSession, d: str) -> DataFrame:
     """Distinct titles of each group of at least two claims, by first occurrence; rows, as a group has no bound."""
-    titled = triage.named_claims(spark, d).select("ord", "identity_key").join(triage.claim_rows(spark, d).select("ord", "title"), "ord")
+    titled = GivenSites(spark, d).named.select("ord", "identity_key").join(claim_rows(spark, d).select("ord", "title"), "ord")
     titles = titled.groupBy("identity_key", "title").agg(F.min("ord").alias("first_ord"), F.count("*").alias("copies"))
     merged = titles.groupBy("identity_key").agg(F.sum("copies").alias("n")).where("n > 1")
     return titles.where("title <> ''").join(merged, "identity_key", "left_semi")
@@ -22,7 +23,7 @@ def merge_titles(spark: SparkSession, d: str) -> DataFrame:
 
 def context_position(spark: SparkSession, d: str) -> DataFrame:
     """Per claim the first cited position inside a function, else the first that resolves."""
-    around = callgraph.enclosing(triage.points(triage.resolved(spark, d)), triage.functions(spark, d))
+    around = GivenSites(spark, d).around
     order = F.struct(F.col("name").isNull(), "pos")
     first = around.groupBy("ord").agg(F.min_by(F.struct("pos", "line", F.col("name").alias("function")), order).alias("p"))
     return first.select("ord", "p.*")
@@ -30,27 +31,23 @@ def context_position(spark: SparkSession, d: str) -> DataFrame:
 
 def unreferenced_functions(spark: SparkSession, d: str) -> DataFrame:
     """Functions that are no entry points and that nothing but themselves calls."""
-    called = triage.calls(spark, d).where("NOT endswith(caller, concat('::', callee))").select(F.col("callee").alias("name")).distinct()
-    return triage.functions(spark, d).where("NOT is_entry").select("path", "seq", "name").join(called, "name", "left_anti")
-
-
-def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    component = triage.component_evidence(spark, d).select("ord", F.lit("component_present").alias("question"), "answer")
-    return component.unionByName(triage.reach_evidence(spark, d).select("ord", F.lit("reachable").alias("question"), "answer"))
+    sites = GivenSites(spark, d)
+    called = sites.calls.where("NOT endswith(caller, concat('::', callee))").select(F.col("callee").alias("name")).distinct()
+    return sites.functions.where("NOT is_entry").select("path", "seq", "name").join(called, "name", "left_anti")
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence(spark, d).where("answer = 'supports'").select("ord", "question")
+    return triage.evidence(GivenSites(spark, d)).where("answer = 'supports'").select("ord", "question")
 
 
 def settled_questions(spark: SparkSession, d: str) -> DataFrame:
     settled, supports = F.count_if(F.col("answer") != "not_established"), F.count_if(F.col("answer") == "supports")
-    return _evidence(spark, d).groupBy("ord").agg(settled.alias("settled"), supports.alias("candidates"))
+    return triage.evidence(GivenSites(spark, d)).groupBy("ord").agg(settled.alias("settled"), supports.alias("candidates"))
 
 
 def dedupe_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Claims and identities per run, summed by tool: an identity counts once in each run."""
-    rows = triage.named_claims(spark, d).select("ord", "identity_key").join(triage.claim_rows(spark, d).select("ord", "tool", "run_id"), "ord")
+    rows = GivenSites(spark, d).named.select("ord", "identity_key").join(claim_rows(spark, d).select("ord", "tool", "run_id"), "ord")
     by_run = rows.groupBy("tool", "run_id").agg(F.count("*").alias("claims"), F.count_distinct("identity_key").alias("identities"))
     sums = [F.sum(c).alias(c) for c in ("claims", "identities")]
     return by_run.groupBy("tool").agg(F.count("*").alias("runs"), *sums)
@@ -92,8 +89,6 @@ def replay_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NAMED, _SPANS = triage.NAMED, triage.SPANS
-_EVIDENCE = f"""{triage.RESOLVED}, {triage.GRAPH}, ev AS (
-  SELECT ord, 'component_present' AS question, answer FROM ({triage.COMPONENT}) UNION ALL SELECT ord, 'reachable', answer FROM ({triage.REACH}))"""
 _CHECKS = f"""{_SPANS}, checks AS (
   SELECT n.snapshot_no, t.identity_key, t.locator, CASE WHEN t.sha IS NULL OR w.sha IS NULL THEN 'unverifiable'
     WHEN t.sha = w.sha THEN 'verified' ELSE 'contradicted' END AS verdict
@@ -101,15 +96,15 @@ _CHECKS = f"""{_SPANS}, checks AS (
 
 SQL = {
     "merge_titles": f"""WITH {_NAMED}, t AS (
-      SELECT identity_key, title, min(ord) AS first_ord, count(*) AS copies FROM idn JOIN claims ON claim_ord = ord GROUP BY identity_key, title)
+      SELECT identity_key, title, min(ord) AS first_ord, count(*) AS copies FROM idn GROUP BY identity_key, title)
       SELECT identity_key, title, first_ord, copies FROM t
       WHERE title <> '' AND identity_key IN (SELECT identity_key FROM idn GROUP BY identity_key HAVING count(*) > 1)""",
-    "context_position": f"""WITH {triage.RESOLVED}, {triage.GRAPH} SELECT ord, pos, line, function FROM enc
+    "context_position": f"""WITH {SITES}, {GRAPH} SELECT ord, pos, line, function FROM enc
       QUALIFY row_number() OVER (PARTITION BY ord ORDER BY function IS NULL, pos) = 1""",
-    "unreferenced_functions": f"""WITH {triage.RESOLVED}, {triage.GRAPH} SELECT path, seq, name FROM fn
+    "unreferenced_functions": f"""WITH {SITES}, {GRAPH} SELECT path, seq, name FROM fn
       WHERE NOT is_entry AND name NOT IN (SELECT callee FROM cl WHERE NOT ends_with(caller, '::' || callee))""",
-    "candidates": f"WITH {_EVIDENCE} SELECT ord, question FROM ev WHERE answer = 'supports'",
-    "settled_questions": f"""WITH {_EVIDENCE} SELECT ord, count_if(answer <> 'not_established')::BIGINT AS settled,
+    "candidates": f"WITH {triage.EVIDENCE} SELECT ord, question FROM ev WHERE answer = 'supports'",
+    "settled_questions": f"""WITH {triage.EVIDENCE} SELECT ord, count_if(answer <> 'not_established')::BIGINT AS settled,
       count_if(answer = 'supports')::BIGINT AS candidates FROM ev GROUP BY ord""",
     "dedupe_rollup": f"""WITH {_NAMED} SELECT tool, count(*) AS runs, sum(claims)::BIGINT AS claims, sum(identities)::BIGINT AS identities
       FROM (SELECT tool, run_id, count(*) AS claims, count(DISTINCT identity_key) AS identities FROM idn GROUP BY tool, run_id) GROUP BY tool""",

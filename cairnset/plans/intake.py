@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnset.functions.text import LINE_END
 from cairnset.plans.numbered import P4_TABLES_SQL, TRIM, _line_sql, _list_sql
 from cairnset.sources import findings
 from cairnset.sources.tables import table
 
-LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 
 def report_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def _text(x: str) -> str:
 
 
 _S, _E = (_line_sql(f"(l->'physicalLocation'->'region'->'{k}')") for k in ("startLine", "endLine"))
-_URI = f"nullif({_text(chr(108) + '->' + repr('physicalLocation') + '->' + repr('artifactLocation') + '->' + repr('uri'))}, '')"
+_URI = "nullif(" + _text("l->'physicalLocation'->'artifactLocation'->'uri'") + ", '')"
 SQL = {
     "report_claims": f"""WITH {P4_TABLES_SQL},
       x AS (SELECT report_id, run_no, result_no, coalesce({_text("res->'message'->'text'")}, '') AS raw, nullif({_text("res->'ruleId'")}, '') AS weakness,
@@ -52,7 +52,7 @@ SQL = {
       t AS (SELECT report_id, run_no, coalesce(nullif({_text("run->'tool'->'driver'->'name'")}, ''), 'unknown') AS tool,
         nullif({_text("run->'tool'->'driver'->'version'")}, '') AS tool_version FROM runs)
       SELECT report_id, run_no, result_no, 'sarif-' || sha256(report_id || ' ' || coalesce(weakness, '') || ' ' || raw)[1:16] AS claim_id,
-        CASE WHEN raw <> '' THEN string_split_regex(raw, '{LINE_ENDS}')[1] ELSE coalesce(weakness, '') END AS title,
+        CASE WHEN raw <> '' THEN string_split_regex(raw, '{LINE_END}')[1] ELSE coalesce(weakness, '') END AS title,
         weakness, severity, tool, tool_version,
         coalesce(array_to_string(list_filter(list_transform(locs, lambda l: {_URI} || CASE WHEN ({_S}) IS NULL THEN ''
           WHEN ({_E}) IS NULL OR ({_E}) = ({_S}) THEN ':' || ({_S}) ELSE ':' || ({_S}) || '-' || ({_E}) END), lambda u: u IS NOT NULL), '|'), '') AS locators
@@ -64,7 +64,7 @@ SQL = {
     "feed_claims": """SELECT claim_ord, claim_id, coalesce(title, '') AS title, nullif(weakness, '') AS weakness, nullif(severity, '') AS severity,
       coalesce(array_to_string(locators, '|'), '') AS locators FROM claims""",
     "text_claims": f"""SELECT doc_id, 'text-' || sha256(text)[1:16] AS claim_id,
-      regexp_replace(list_filter(string_split_regex(text, '{LINE_ENDS}'), lambda x: trim(x, {TRIM}) <> '')[1], '^[# ]+', '') AS title
+      regexp_replace(list_filter(string_split_regex(text, '{LINE_END}'), lambda x: trim(x, {TRIM}) <> '')[1], '^[# ]+', '') AS title
       FROM documents WHERE trim(text, {TRIM}) <> ''""",
 }
 QUERIES = {f.__name__: f for f in (report_claims, format_sniff, feed_claims, text_claims)}

@@ -1,10 +1,8 @@
 """Triage queries over the given tables, each with its SQL twin.
 
-``claim_locators``, ``anchor_locators`` and ``site_claims`` read the given
-locators. What they cite is a source tree that is not there; for the queries
-that resolve citations the documents stand in for it: document n is the file ``doc/n.py`` (or ``.md``), its text cut into
-blocks of ten lines that act as functions, and each citation of a claim points
-to a line of one. The same expressions make these tables for Spark and for SQL.
+Most read the locators that the tables give (``sites.GivenSites``). The few that
+need the cited text itself, which no table gives, take documents for files
+(``sites.DocumentTree``).
 """
 
 from __future__ import annotations
@@ -13,93 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import blank_to_null, canonical_digest
-from cairnset.functions.text import fenced, first_line, normalise_weakness, parse_locator, split_lines, title_tokens
+from cairnset.functions.text import LINE_END, STOP_WORDS, WEAKNESS, clean_path, fenced, first_line, normalise_weakness, parse_locator, split_lines, title_tokens
 from cairnset.operators import callgraph, folds, identity, locators, snapshots
 from cairnset.plans.numbered import STATES_SQL, TRIM, digest_sql
+from cairnset.plans.sites import DOCUMENTS, GIVEN, GRAPH, PARTS, SITES, SPELLED, DocumentTree, GivenSites, claim_rows, cleaned
+from cairnset.session import cut
 from cairnset.sources.tables import table
 
-PATH = "'doc/' || cast(doc AS string) || CASE WHEN doc % 5 = 4 THEN '.md' ELSE '.py' END"
-CITED = "cast(floor(ord * 3 / 5) AS bigint) - cast(floor(ord * 3 / 5) AS bigint) % 4 + pos"
-LINE = "1 + (ord * 5 + pos * 3) % 14"
-LOCATOR = """CASE WHEN ord % 53 = 0 THEN '  ' WHEN ord % 7 = 0 THEN path
-  WHEN ord % 41 = 0 THEN path || ':' || cast(line + 1 AS string) || '-' || cast(line AS string)
-  WHEN ord % 3 = 0 THEN path || ':' || cast(line AS string) || '-' || cast(line + pos * 30 AS string)
-  ELSE path || ':' || cast(line AS string) END"""
-OUTER, INNER = "'f' || cast(doc % 97 AS string) || '_' || cast(k AS string)", "'g' || cast(doc % 97 AS string) || '_' || cast(k AS string)"
-CALLS_OUTER = "'f' || cast((doc * 3 + 1) % 97 AS string) || '_' || cast(k * 2 + 1 AS string)"
-CALLS_INNER = "'g' || cast(doc * 5 % 97 AS string) || '_' || cast(k AS string)"
-
-
-# Tables made from the given ones
-
-
-def source_files(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id IS NOT NULL").selectExpr("doc_id AS doc", "text")
-    return docs.selectExpr("doc", f"{PATH} AS path", "text")
-
-
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    cited = table(spark, d, "claims").select(F.col("claim_ord").alias("ord"), F.posexplode("locators").alias("pos", "given"))
-    placed = cited.selectExpr("ord", "pos", f"{CITED} AS doc", f"{LINE} AS line")
-    named = placed.selectExpr("ord", "pos", "line", f"{PATH} AS path")
-    return named.selectExpr("ord", "pos", f"{LOCATOR} AS locator")
-
-
-def blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of ten lines: doc, path, k and the number of lines."""
-    counted = source_files(spark, d).select("doc", "path", F.size(split_lines(F.col("text"))).alias("n")).where("n > 0")
-    return counted.select("doc", "path", "n", F.explode(F.expr("sequence(0, (n - 1) div 10)")).alias("k"))
-
-
-def functions(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
-    outer = b.selectExpr(
-        "path", "k * 2 AS seq", f"{OUTER} AS name", "k * 10 + 1 AS start_line", "least(k * 10 + 10, n) AS end_line", "k % 3 = 0 AS is_entry"
-    )
-    inner = b.where("k * 10 + 4 <= n").selectExpr(
-        "path", "k * 2 + 1 AS seq", f"{INNER} AS name", "k * 10 + 4 AS start_line", "least(k * 10 + 7, n) AS end_line", "false AS is_entry"
-    )
-    return outer.unionByName(inner)
-
-
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
-    one = b.selectExpr(f"path || '::' || {OUTER} AS caller", f"{CALLS_OUTER} AS callee")
-    two = b.where("k % 2 = 0").selectExpr(f"path || '::' || {OUTER} AS caller", f"{CALLS_INNER} AS callee")
-    return one.unionByName(two).distinct()
-
-
-def failures(spark: SparkSession, d: str) -> DataFrame:
-    return source_files(spark, d).where("doc % 11 = 0").select("path")
-
-
-def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return locators.resolve(citations(spark, d), source_files(spark, d))
-
-
-def points(found: DataFrame) -> DataFrame:
-    """Resolved citations as positions; without a line the first one counts."""
-    return found.where("resolution = 'resolves'").select("ord", "pos", "path", F.coalesce("start_line", F.lit(1)).alias("line"))
-
-
-def claim_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "claims").select(
-        F.col("claim_ord").alias("ord"), "claim_id", "run_id", "title", "raw_text", "weakness", F.lower(blank_to_null(F.col("tool"))).alias("tool")
-    )
-
-
-def named_claims(spark: SparkSession, d: str) -> DataFrame:
-    found = resolved(spark, d).select("ord", "pos", "path", "start_line", "resolution")
-    lines = found.where("resolution = 'resolves' AND start_line IS NOT NULL").selectExpr("ord", "pos", "path", "start_line AS line")
-    around = callgraph.enclosing(lines, functions(spark, d))
-    return identity.identities(claim_rows(spark, d), identity.anchors(found, around))
-
-
 # Queries
 
 
 def locator_parse(spark: SparkSession, d: str) -> DataFrame:
-    return locators.parsed(citations(spark, d))
+    """Every locator that claims or anchors give, once, with its parts and its path cleaned."""
+    given = table(spark, d, "claims").select(F.explode("locators").alias("locator")).union(table(spark, d, "span_anchors").select("locator"))
+    parts = [c.alias(n) for n, c in parse_locator(F.col("locator")).items()]
+    return given.distinct().select("locator", *parts).withColumn("file", clean_path(F.col("path")))
+
+
+def anchored_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Which citations name a file that the decisions' anchors know, and how far it is known."""
+    return GivenSites(spark, d).resolved.select("ord", "pos", "locator", "file", "resolution", "line_count")
 
 
 def claim_locators(spark: SparkSession, d: str) -> DataFrame:
@@ -122,19 +53,25 @@ def site_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_status(spark: SparkSession, d: str) -> DataFrame:
-    return resolved(spark, d).select("ord", "pos", "resolution", "line_count", "content_hash", "truncated")
+    return DocumentTree(spark, d).resolved.select("ord", "pos", "resolution", "line_count", "content_hash", "truncated")
 
 
 def resolution_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return locators.resolution_counts(resolved(spark, d))
+    return locators.resolution_counts(GivenSites(spark, d).resolved)
 
 
 def fully_unresolved(spark: SparkSession, d: str) -> DataFrame:
-    return locators.fully_unresolved(resolved(spark, d))
+    return locators.fully_unresolved(GivenSites(spark, d).resolved)
+
+
+def unresolved_shown(spark: SparkSession, d: str) -> DataFrame:
+    shown = locators.shown_unresolved(GivenSites(spark, d).resolved)
+    return shown.select("ord", "unresolved", F.array_join("shown", "|").alias("shown"))
 
 
 def first_resolved(spark: SparkSession, d: str) -> DataFrame:
-    return locators.first_quoted(resolved(spark, d))
+    tree = DocumentTree(spark, d)
+    return locators.first_quoted(locators.resolutions(tree.citations, locators.file_counts(tree.cells)))
 
 
 def cwe_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -146,77 +83,86 @@ def title_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_key(spark: SparkSession, d: str) -> DataFrame:
-    return named_claims(spark, d).select("ord", "identity_key", "kind", "anchor")
+    return GivenSites(spark, d).named.select("ord", "identity_key", "kind", "anchor")
 
 
 def merge_groups(spark: SparkSession, d: str) -> DataFrame:
-    return identity.merges(claim_rows(spark, d), named_claims(spark, d))
+    return identity.merges(claim_rows(spark, d), GivenSites(spark, d).named)
 
 
 def representative(spark: SparkSession, d: str) -> DataFrame:
-    return identity.representatives(named_claims(spark, d))
+    return identity.representatives(GivenSites(spark, d).named)
 
 
 def numbered_members(spark: SparkSession, d: str) -> DataFrame:
-    return identity.numbered_items(named_claims(spark, d))
+    return identity.numbered_items(GivenSites(spark, d).named)
 
 
 def related_sites(spark: SparkSession, d: str) -> DataFrame:
-    return identity.related_sites(named_claims(spark, d))
+    return identity.related_sites(GivenSites(spark, d).named)
 
 
 def enclosing_function(spark: SparkSession, d: str) -> DataFrame:
-    around = callgraph.enclosing(points(resolved(spark, d)), functions(spark, d))
-    return around.select("ord", "pos", "line", F.col("name").alias("function"))
+    return GivenSites(spark, d).around.select("ord", "pos", "line", F.col("name").alias("function"))
 
 
 def callers_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = callgraph.callers(functions(spark, d), calls(spark, d))
+    sites = GivenSites(spark, d)
+    found = callgraph.callers(sites.functions, sites.calls)
     return found.select("name", "n_callers", F.array_join("callers", "|").alias("callers"))
 
 
-def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.reachability(points(resolved(spark, d)), functions(spark, d), calls(spark, d), failures(spark, d))
-
-
 def reachability_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return verdicts(spark, d).select("ord", "pos", "function", "verdict")
+    return GivenSites(spark, d).verdicts.select("ord", "pos", "function", "verdict")
 
 
-def component_evidence(spark: SparkSession, d: str) -> DataFrame:
-    counts = locators.resolution_counts(resolved(spark, d)).select("ord", "total", "resolves")
+def component_answers(sites: GivenSites) -> DataFrame:
+    counts = locators.resolution_counts(sites.resolved).select("ord", "total", "resolves")
     n = F.coalesce("total", F.lit(0))
     answer = F.when(n == 0, "not_established").when(F.col("resolves") == 0, "supports").otherwise("contradicts")
-    return claim_rows(spark, d).select("ord").join(counts, "ord", "left").select("ord", answer.alias("answer"))
+    return sites.claims.select("ord").join(counts, "ord", "left").select("ord", answer.alias("answer"))
 
 
-def reach_evidence(spark: SparkSession, d: str) -> DataFrame:
+def reach_answers(sites: GivenSites) -> DataFrame:
     v = F.col("verdict")
-    folded = verdicts(spark, d).groupBy("ord").agg(
+    folded = sites.verdicts.groupBy("ord").agg(
         F.when(F.bool_or(v == "reachable_from"), "contradicts").when(F.bool_or(v == "no_caller_found"), "supports")
         .otherwise("not_established").alias("answer"),
         F.min_by("function", F.when(v == "reachable_from", F.col("pos"))).alias("function"),
     )
-    joined = claim_rows(spark, d).select("ord").join(folded, "ord", "left")
+    joined = sites.claims.select("ord").join(folded, "ord", "left")
     return joined.select("ord", F.coalesce("answer", F.lit("not_established")).alias("answer"), "function")
 
 
+def evidence(sites: GivenSites) -> DataFrame:
+    """(ord, question, answer) of the two questions that need no model."""
+    component = component_answers(sites).select("ord", F.lit("component_present").alias("question"), "answer")
+    return component.unionByName(reach_answers(sites).select("ord", F.lit("reachable").alias("question"), "answer"))
+
+
+def component_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return component_answers(GivenSites(spark, d))
+
+
+def reach_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return reach_answers(GivenSites(spark, d))
+
+
 def answer_matrix(spark: SparkSession, d: str) -> DataFrame:
-    both = component_evidence(spark, d).select(F.lit("component_present").alias("question"), "answer").unionAll(
-        reach_evidence(spark, d).select(F.lit("reachable"), "answer")
-    )
     kinds = ["supports", "contradicts", "not_established"]
-    return both.groupBy("question").pivot("answer", kinds).count().na.fill(0, kinds)
+    return evidence(GivenSites(spark, d)).groupBy("question").pivot("answer", kinds).count().na.fill(0, kinds)
 
 
 def citation_rate(spark: SparkSession, d: str) -> DataFrame:
-    by_tool = resolved(spark, d).select("ord", "resolution").join(claim_rows(spark, d).select("ord", "tool"), "ord")
+    """Per tool the citations, how many resolve, their share, and the number of each resolution."""
+    by_tool = GivenSites(spark, d).resolved.select("ord", "resolution").join(claim_rows(spark, d).select("ord", "tool"), "ord")
     n, hit = F.count("*"), F.count_if(F.col("resolution") == "resolves")
-    return by_tool.groupBy("tool").agg(n.alias("total"), hit.alias("resolved"), F.round(hit / n, 6).alias("rate"))
+    each = [F.count_if(F.col("resolution") == r).alias(r) for r in locators.RESOLUTIONS]
+    return by_tool.groupBy("tool").agg(n.alias("total"), hit.alias("resolved"), F.round(hit / n, 6).alias("rate"), *each)
 
 
-def dedupe_effect(spark: SparkSession, d: str) -> DataFrame:
-    rows = named_claims(spark, d).select("ord", "identity_key").join(claim_rows(spark, d).select("ord", "tool", "claim_id", "run_id"), "ord")
+def _dedupe(sites: GivenSites, claims: DataFrame) -> DataFrame:
+    rows = cut(sites.named.select("ord", "identity_key").join(claims.select("ord", "tool", "claim_id", "run_id"), "ord"))
     groups = rows.groupBy("tool", "identity_key").agg(F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
     by_group = groups.groupBy("tool").agg(
         F.sum("n").alias("claims"), F.count("*").alias("identities"), F.max("n").alias("largest"), F.count_if(F.col("runs") > 1).alias("cross_run")
@@ -225,19 +171,35 @@ def dedupe_effect(spark: SparkSession, d: str) -> DataFrame:
     return by_group.join(ids, by_group.tool.eqNullSafe(ids.tool)).drop(ids.tool)
 
 
+def dedupe_effect(spark: SparkSession, d: str) -> DataFrame:
+    sites = GivenSites(spark, d)
+    return _dedupe(sites, sites.claims)
+
+
+def dedupe_resolving(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the claims of which a citation resolves."""
+    sites = GivenSites(spark, d)
+    hit = sites.resolved.where("resolution = 'resolves'").select("ord").distinct()
+    return _dedupe(sites, sites.claims.join(hit, "ord", "left_semi"))
+
+
 def span_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each anchor of a snapshot's entries beside the same key's anchor at that locator in the next snapshot."""
+    """Each anchor of a snapshot's entries beside the same key's anchor at that locator in the next snapshot.
+
+    Of several rows for one locator of an entry the one with the smallest pos
+    counts, then the one with the largest digests, so both digests are of one row.
+    """
     entries = table(spark, d, "baseline_entries")
     keyed = entries.select("snapshot_no", "entry_row", canonical_digest(F.col("identity_key")).alias("identity_key"), "status")
     current = snapshots.current_rows(keyed, "snapshot_no", "identity_key", "entry_row", ["status"])
     index = snapshots.snapshot_index(entries, "snapshot_no")
     indexed = snapshots._with_index(current, index, "snapshot_no").select("snapshot_no", "next_snapshot", "identity_key", "entry_row")
     spans = table(spark, d, "span_anchors").where("locator IS NOT NULL").select(
-        "entry_row", "locator", canonical_digest(F.col("sha256")).alias("sha"), canonical_digest(F.col("symbol_sha256")).alias("symbol")
-    )
-    anchored = indexed.join(spans, "entry_row").groupBy("snapshot_no", "next_snapshot", "identity_key", "locator").agg(
-        F.max("sha").alias("sha"), F.max("symbol").alias("symbol")
+        "entry_row", "locator", "pos", canonical_digest(F.col("sha256")).alias("sha"), canonical_digest(F.col("symbol_sha256")).alias("symbol")
     )
+    first = F.max(F.struct((-F.col("pos")).alias("p"), "sha", "symbol")).alias("f")
+    grouped = indexed.join(spans, "entry_row").groupBy("snapshot_no", "next_snapshot", "identity_key", "locator").agg(first)
+    anchored = cut(grouped.select("snapshot_no", "next_snapshot", "identity_key", "locator", "f.sha", "f.symbol"))
     then = anchored.where("next_snapshot IS NOT NULL").select(
         F.col("next_snapshot").alias("snapshot_no"), "identity_key", "locator", F.col("sha").alias("sha_then"), F.col("symbol").alias("symbol_then")
     )
@@ -331,97 +293,42 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 # Syntax trees: no SQL twin, tested against a plain walk
 
 
-def _python_files(spark: SparkSession, d: str) -> DataFrame:
-    return source_files(spark, d).where("path LIKE '%.py'").select("path", "text")
+def _python_files(tree: DocumentTree) -> DataFrame:
+    return tree.files.where("path LIKE '%.py'").select("path", "text")
 
 
 def ast_functions(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.functions_of(callgraph.parse_files(_python_files(spark, d)))
+    return callgraph.functions_of(callgraph.parse_files(_python_files(DocumentTree(spark, d))))
 
 
 def ast_calls(spark: SparkSession, d: str) -> DataFrame:
-    return callgraph.calls_of(callgraph.parse_files(_python_files(spark, d)))
+    return callgraph.calls_of(callgraph.parse_files(_python_files(DocumentTree(spark, d))))
 
 
 def ast_reachability(spark: SparkSession, d: str) -> DataFrame:
-    from cairnset.session import cut
-
-    nodes = cut(callgraph.parse_files(_python_files(spark, d)))
-    found = points(resolved(spark, d))
-    verdict = callgraph.reachability(found, callgraph.functions_of(nodes), callgraph.calls_of(nodes), callgraph.failures_of(nodes))
+    tree = DocumentTree(spark, d)
+    nodes = cut(callgraph.parse_files(_python_files(tree)))
+    found = locators.resolutions(tree.citations, locators.file_counts(tree.cells)).where("resolution = 'resolves'")
+    points = found.select("ord", "pos", F.col("file").alias("path"), F.coalesce("start_line", F.lit(1)).alias("line"))
+    verdict = callgraph.reachability(points, callgraph.functions_of(nodes), callgraph.calls_of(nodes), callgraph.failures_of(nodes))
     return verdict.select("ord", "pos", "path", "function", "verdict")
 
 
 # SQL twins
 
-_RE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]"
-_LOC = "(?s)^(.+?)(?::([1-9][0-9]*)(?:-([1-9][0-9]*))?)?$"
-
-
-def _varchar(sql: str) -> str:
-    return sql.replace("AS string", "AS varchar")
-
-
-FILES = _varchar(f"""files AS (
-  SELECT doc, {PATH} AS path, text, CASE WHEN l[-1] = '' THEN l[1:len(l)-1] ELSE l END AS lines
-  FROM (SELECT doc_id AS doc, text, string_split_regex(text, '{_RE}') AS l FROM documents WHERE doc_id IS NOT NULL))""")
-CITS = _varchar(f"""cit AS (
-  SELECT ord, pos, {LOCATOR} AS locator FROM (
-    SELECT ord, pos, line, {PATH} AS path FROM (
-      SELECT ord, pos, {CITED} AS doc, {LINE} AS line FROM (
-        SELECT claim_ord AS ord, unnest(range(len(locators))) AS pos FROM claims)))),
-parsed AS (
-  SELECT ord, pos, locator, nullif(trim(regexp_extract(t, '{_LOC}', 1)), '') AS path,
-         try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint) AS start_line,
-         coalesce(try_cast(nullif(regexp_extract(t, '{_LOC}', 3), '') AS bigint), try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint)) AS end_line
-  FROM (SELECT *, regexp_replace(locator, '^\\s+|\\s+$', '', 'g') AS t FROM cit))""")
-RESOLVED = f"""{FILES}, {CITS},
-res0 AS (
-  SELECT p.*, CASE WHEN start_line IS NOT NULL THEN lines END AS lines, CASE WHEN start_line IS NOT NULL THEN len(lines) END AS line_count,
-    CASE WHEN p.path IS NULL THEN 'not_a_locator' WHEN f.path IS NULL THEN 'path_absent' WHEN start_line IS NULL THEN 'resolves'
-         WHEN end_line < start_line THEN 'line_out_of_range'
-         WHEN len(lines) IS NOT NULL AND (start_line > len(lines) OR end_line > len(lines)) THEN 'line_out_of_range' ELSE 'resolves' END AS resolution
-  FROM parsed p LEFT JOIN files f ON p.path = f.path),
-res AS (
-  SELECT *, CASE WHEN q IS NOT NULL THEN 'sha256:' || sha256(q) END AS content_hash,
-         coalesce(q IS NOT NULL AND end_line - start_line >= 40, false) AS truncated FROM (
-    SELECT *, CASE WHEN resolution = 'resolves' AND lines IS NOT NULL
-      THEN array_to_string(lines[start_line:least(end_line, start_line + 39)], chr(10)) END AS q FROM res0))"""
-GRAPH = _varchar(f"""blk AS (
-  SELECT doc, path, len(lines) AS n, unnest(range((len(lines) - 1) // 10 + 1)) AS k FROM files WHERE len(lines) > 0),
-fn AS (
-  SELECT path, k * 2 AS seq, {OUTER} AS name, k * 10 + 1 AS s, least(k * 10 + 10, n) AS e, k % 3 = 0 AS is_entry FROM blk
-  UNION ALL SELECT path, k * 2 + 1, {INNER}, k * 10 + 4, least(k * 10 + 7, n), false FROM blk WHERE k * 10 + 4 <= n),
-cl AS (
-  SELECT path || '::' || {OUTER} AS caller, {CALLS_OUTER} AS callee FROM blk
-  UNION SELECT path || '::' || {OUTER}, {CALLS_INNER} FROM blk WHERE k % 2 = 0),
-pts AS (SELECT ord, pos, path, start_line, coalesce(start_line, 1) AS line FROM res WHERE resolution = 'resolves'),
-enc AS (
-  SELECT ord, pos, pts.path, start_line, line, arg_min(name, {{'l': e - s, 'q': seq}}) AS function, arg_min(is_entry, {{'l': e - s, 'q': seq}}) AS is_entry
-  FROM pts LEFT JOIN fn ON pts.path = fn.path AND line BETWEEN s AND e GROUP BY ALL),
-met AS (
-  SELECT callee AS name, caller, row_number() OVER (PARTITION BY callee ORDER BY caller) AS i
-  FROM cl WHERE callee IN (SELECT name FROM fn) AND NOT ends_with(caller, '::' || callee)),
-callers AS (
-  SELECT name, count(*) AS n_callers, string_agg(caller, '|' ORDER BY caller) FILTER (WHERE i <= 8) AS callers FROM met GROUP BY name),
-reach AS (
-  SELECT ord, pos, function, CASE
-    WHEN NOT ends_with(path, '.py') OR path IN (SELECT path FROM files WHERE doc % 11 = 0) OR function IS NULL THEN 'not_determinable'
-    WHEN is_entry THEN 'reachable_from' WHEN n_callers > 0 THEN 'reachable_from' ELSE 'no_caller_found' END AS verdict
-  FROM enc LEFT JOIN callers ON callers.name = enc.function)""")
-STOP = "', '".join(__import__("cairnset.functions.text", fromlist=["STOP_WORDS"]).STOP_WORDS)
+STOP = "', '".join(STOP_WORDS)
 TOKENS = (
     "array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(nullif(title, ''), raw_text[1:200], '')),"
     f" '[a-z0-9]+'), lambda x: x NOT IN ('{STOP}')))), '%s')"
 )
-CWE = "list_sort(list_distinct(list_transform(regexp_extract_all(lower(weakness), 'cwe[-_ ]?([0-9]{1,5})', 1), lambda x: x::INT)))"
+CWE = f"list_sort(list_distinct(list_transform(regexp_extract_all(lower(weakness), '{WEAKNESS}', 1), lambda x: x::INT)))"
 CWE = f"nullif(array_to_string(list_transform({CWE}, lambda n: 'CWE-' || n), '+'), '')"
-NAMED = f"""{RESOLVED}, {GRAPH},
+NAMED = f"""{SITES}, {GRAPH},
 anc AS (
   SELECT r.ord, coalesce(min(CASE WHEN r.start_line IS NOT NULL AND function IS NOT NULL THEN r.path || '::' || function END), min(r.path)) AS anchor
   FROM res r JOIN enc USING (ord, pos) GROUP BY r.ord),
 idn0 AS (
-  SELECT claim_ord AS ord, claim_id, run_id, nullif(lower(trim(tool, {TRIM})), '') AS tool, anchor, {CWE} AS cwe, {TOKENS % "' || chr(10) || '"} AS topic
+  SELECT claim_ord AS ord, claim_id, run_id, title, weakness, nullif(lower(trim(tool, {TRIM})), '') AS tool, anchor, {CWE} AS cwe, {TOKENS % "' || chr(10) || '"} AS topic
   FROM claims LEFT JOIN anc ON ord = claim_ord),
 idn AS (
   SELECT *, 'sha256:' || sha256(m) AS identity_key FROM (
@@ -436,11 +343,14 @@ REACH = """SELECT c.claim_ord AS ord, CASE WHEN bool_or(verdict = 'reachable_fro
   WHEN bool_or(verdict = 'no_caller_found') THEN 'supports' ELSE 'not_established' END AS answer,
   arg_min(function, pos) FILTER (WHERE verdict = 'reachable_from') AS function
   FROM claims c LEFT JOIN reach r ON r.ord = c.claim_ord GROUP BY c.claim_ord"""
+EVIDENCE = f"""{SITES}, {GRAPH}, ev AS (
+  SELECT ord, 'component_present' AS question, answer FROM ({COMPONENT}) UNION ALL SELECT ord, 'reachable', answer FROM ({REACH}))"""
 SPANS = f"""{STATES_SQL},
 cur2 AS (SELECT cur.*, i FROM cur JOIN snaps USING (snapshot_no)),
 anch AS (
-  SELECT i, snapshot_no, identity_key, locator, max({digest_sql('sha256')}) AS sha, max({digest_sql('symbol_sha256')}) AS symbol
-  FROM cur2 JOIN (SELECT entry_row, locator, sha256, symbol_sha256 FROM span_anchors WHERE locator IS NOT NULL) USING (entry_row) GROUP BY ALL),
+  SELECT i, snapshot_no, identity_key, locator, sha, symbol
+  FROM cur2 JOIN (SELECT entry_row, locator, pos, {digest_sql('sha256')} AS sha, {digest_sql('symbol_sha256')} AS symbol FROM span_anchors WHERE locator IS NOT NULL) USING (entry_row)
+  QUALIFY row_number() OVER (PARTITION BY snapshot_no, identity_key, locator ORDER BY pos, sha DESC NULLS LAST, symbol DESC NULLS LAST) = 1),
 spans AS (
   SELECT n.snapshot_no, t.identity_key, t.locator, CASE WHEN w.sha IS NULL THEN 'absent'
     WHEN w.sha IS NOT DISTINCT FROM t.sha AND (t.symbol IS NULL OR w.symbol IS NOT DISTINCT FROM t.symbol) THEN 'unchanged'
@@ -454,52 +364,56 @@ states AS (
     ON s.snapshot_no = c.snapshot_no AND s.identity_key = c.identity_key)"""
 _NEWEST = "SELECT k AS identity_key, arg_max(coalesce(title, chr(0)), o) AS title FROM (SELECT {k} AS k, {o} AS o, title FROM {t}) WHERE k IS NOT NULL GROUP BY k"
 
-_PARTS = f"""nullif(trim(regexp_extract(t, '{_LOC}', 1)), '') AS path,
-  try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint) AS start_line,
-  coalesce(try_cast(nullif(regexp_extract(t, '{_LOC}', 3), '') AS bigint), try_cast(nullif(regexp_extract(t, '{_LOC}', 2), '') AS bigint)) AS end_line"""
-_SPELLED = "regexp_replace(locator, '^\\s+|\\s+$', '', 'g') AS t"
-GIVEN = f"""given AS (
-  SELECT ord, pos, locator, {_PARTS} FROM (SELECT *, {_SPELLED} FROM (
-    SELECT claim_ord AS ord, unnest(range(len(locators))) AS pos, unnest(locators) AS locator FROM claims)))"""
-
 SQL = {
     "claim_locators": f"WITH {GIVEN} SELECT ord, pos, locator, path, start_line, end_line FROM given",
-    "anchor_locators": f"SELECT entry_row, pos, locator, {_PARTS} FROM (SELECT entry_row, pos, locator, {_SPELLED} FROM span_anchors)",
+    "anchor_locators": f"SELECT entry_row, pos, locator, {PARTS} FROM (SELECT entry_row, pos, locator, {SPELLED} FROM span_anchors)",
     "site_claims": f"""WITH {GIVEN} SELECT path, start_line, end_line, count(DISTINCT ord) AS n_claims, min(ord) AS first_ord
       FROM given WHERE path IS NOT NULL GROUP BY path, start_line, end_line HAVING count(DISTINCT ord) > 1""",
-    "locator_parse": f"WITH {CITS} SELECT ord, pos, locator, path, start_line, end_line FROM parsed",
-    "resolve_status": f"WITH {RESOLVED} SELECT ord, pos, resolution, line_count, content_hash, truncated FROM res",
-    "resolution_histogram": f"WITH {RESOLVED} SELECT ord, count(*) AS total, "
+    "locator_parse": f"""SELECT locator, path, start_line, end_line, {cleaned('path')} AS file FROM (SELECT locator, {PARTS} FROM (SELECT locator, {SPELLED} FROM (
+      SELECT unnest(locators) AS locator FROM claims UNION SELECT locator FROM span_anchors)))""",
+    "anchored_citations": f"WITH {SITES} SELECT ord, pos, locator, file, resolution, line_count FROM res",
+    "unresolved_shown": f"""WITH {SITES} SELECT ord, count(*) AS unresolved, string_agg(coalesce(locator, ''), '|' ORDER BY pos) FILTER (WHERE i <= 5) AS shown
+      FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY pos) AS i FROM res WHERE resolution <> 'resolves') GROUP BY ord""",
+    "resolve_status": f"WITH {DOCUMENTS} SELECT ord, pos, resolution, line_count, content_hash, truncated FROM res",
+    "resolution_histogram": f"WITH {SITES} SELECT ord, count(*) AS total, "
     + ", ".join(f"count_if(resolution = '{r}')::BIGINT AS {r}" for r in locators.RESOLUTIONS)
     + " FROM res GROUP BY ord",
-    "fully_unresolved": f"WITH {RESOLVED} SELECT ord FROM res GROUP BY ord HAVING count_if(resolution = 'resolves') = 0",
-    "first_resolved": f"""WITH {RESOLVED} SELECT ord, pos, locator FROM res WHERE resolution = 'resolves'
+    "fully_unresolved": f"WITH {SITES} SELECT ord FROM res GROUP BY ord HAVING count_if(resolution = 'resolves') = 0",
+    "first_resolved": f"""WITH {DOCUMENTS} SELECT ord, pos, locator FROM res WHERE resolution = 'resolves'
       QUALIFY row_number() OVER (PARTITION BY ord ORDER BY q IS NULL, pos) = 1""",
     "cwe_normalise": f"SELECT claim_ord AS ord, {CWE} AS weakness FROM claims",
     "title_words": f"SELECT claim_ord AS ord, {TOKENS % ' '} AS tokens FROM claims",
     "identity_key": f"WITH {NAMED} SELECT ord, identity_key, kind, anchor FROM idn",
-    "merge_groups": f"""WITH {NAMED} SELECT identity_key, kind, count(*) AS size, min(ord) AS first_ord,
-      (SELECT string_agg(tool, '|' ORDER BY o) FROM (SELECT tool, min(ord) AS o FROM idn x WHERE x.identity_key = idn.identity_key AND tool <> '' GROUP BY tool)) AS tools
-      FROM idn GROUP BY identity_key, kind HAVING count(*) > 1""",
+    "merge_groups": f"""WITH {NAMED}, t AS (SELECT identity_key, string_agg(tool, '|' ORDER BY o) AS tools FROM (
+        SELECT identity_key, tool, min(ord) AS o FROM idn WHERE tool <> '' GROUP BY ALL) GROUP BY identity_key),
+      w AS (SELECT identity_key, string_agg(weakness, '|' ORDER BY o) AS weaknesses FROM (
+        SELECT identity_key, weakness, min(ord) AS o FROM idn WHERE weakness <> '' GROUP BY ALL) GROUP BY identity_key)
+      SELECT idn.identity_key, kind, count(*) AS size, min(ord) AS first_ord, count(DISTINCT nullif(title, '')) AS titles, tools, weaknesses
+      FROM idn LEFT JOIN t USING (identity_key) LEFT JOIN w USING (identity_key) GROUP BY ALL HAVING count(*) > 1""",
     "representative": f"WITH {NAMED} SELECT identity_key, min(ord) AS ord, count(*) AS members FROM idn GROUP BY identity_key",
     "numbered_members": f"WITH {NAMED} SELECT identity_key, ord, row_number() OVER (PARTITION BY identity_key ORDER BY ord) AS n FROM idn",
     "related_sites": f"""WITH {NAMED} SELECT anchor, count(DISTINCT identity_key) AS n_identities,
       array_to_string(list_sort(list_distinct(list(coalesce(cwe, '(none)')))), '|') AS weaknesses FROM idn WHERE anchor IS NOT NULL
       GROUP BY anchor HAVING count(DISTINCT identity_key) > 1""",
-    "enclosing_function": f"WITH {RESOLVED}, {GRAPH} SELECT ord, pos, line, function FROM enc",
-    "callers_topk": f"WITH {RESOLVED}, {GRAPH} SELECT name, n_callers, callers FROM callers",
-    "reachability_verdict": f"WITH {RESOLVED}, {GRAPH} SELECT ord, pos, function, verdict FROM reach",
-    "component_evidence": f"WITH {RESOLVED} {COMPONENT}",
-    "reach_evidence": f"WITH {RESOLVED}, {GRAPH} {REACH}",
-    "answer_matrix": f"""WITH {RESOLVED}, {GRAPH} SELECT question, count_if(answer = 'supports')::BIGINT AS supports,
-      count_if(answer = 'contradicts')::BIGINT AS contradicts, count_if(answer = 'not_established')::BIGINT AS not_established
-      FROM (SELECT 'component_present' AS question, answer FROM ({COMPONENT}) UNION ALL SELECT 'reachable', answer FROM ({REACH})) GROUP BY question""",
-    "citation_rate": f"""WITH {RESOLVED} SELECT nullif(lower(trim(tool, {TRIM})), '') AS tool, count(*) AS total,
-      count_if(resolution = 'resolves')::BIGINT AS resolved, round(count_if(resolution = 'resolves') / count(*), 6) AS rate
+    "enclosing_function": f"WITH {SITES}, {GRAPH} SELECT ord, pos, line, function FROM enc",
+    "callers_topk": f"WITH {SITES}, {GRAPH} SELECT name, n_callers, callers FROM callers",
+    "reachability_verdict": f"WITH {SITES}, {GRAPH} SELECT ord, pos, function, verdict FROM reach",
+    "component_evidence": f"WITH {SITES} {COMPONENT}",
+    "reach_evidence": f"WITH {SITES}, {GRAPH} {REACH}",
+    "answer_matrix": f"""WITH {EVIDENCE} SELECT question, count_if(answer = 'supports')::BIGINT AS supports,
+      count_if(answer = 'contradicts')::BIGINT AS contradicts, count_if(answer = 'not_established')::BIGINT AS not_established FROM ev GROUP BY question""",
+    "citation_rate": f"""WITH {SITES} SELECT nullif(lower(trim(tool, {TRIM})), '') AS tool, count(*) AS total,
+      count_if(resolution = 'resolves')::BIGINT AS resolved, round(count_if(resolution = 'resolves') / count(*), 6) AS rate, """
+    + ", ".join(f"count_if(resolution = '{r}')::BIGINT AS {r}" for r in locators.RESOLUTIONS)
+    + """
       FROM res JOIN claims ON claim_ord = ord GROUP BY 1""",
-    "dedupe_effect": f"""WITH {NAMED}, g AS (SELECT tool, identity_key, count(*) AS n, count(DISTINCT run_id) AS runs FROM idn GROUP BY ALL)
+    **{
+        name: f"""WITH {NAMED}, chosen AS (SELECT * FROM idn WHERE {which}),
+      g AS (SELECT tool, identity_key, count(*) AS n, count(DISTINCT run_id) AS runs FROM chosen GROUP BY ALL)
       SELECT tool, sum(n)::BIGINT AS claims, count(*) AS identities, max(n) AS largest, count_if(runs > 1)::BIGINT AS cross_run,
-      (SELECT count(DISTINCT claim_id) FROM idn WHERE idn.tool IS NOT DISTINCT FROM g.tool) AS claim_ids FROM g GROUP BY tool""",
+      (SELECT count(DISTINCT claim_id) FROM chosen WHERE chosen.tool IS NOT DISTINCT FROM g.tool) AS claim_ids FROM g GROUP BY tool"""
+        for name, which in (("dedupe_effect", "true"), ("dedupe_resolving", "ord IN (SELECT ord FROM res WHERE resolution = 'resolves')"))
+    },
     "span_state": f"WITH {SPANS} SELECT snapshot_no, identity_key, locator, span_state FROM spans",
     "baseline_state": f"WITH {SPANS} SELECT snapshot_no, identity_key, state FROM states",
     "queue_summary": f"""WITH {SPANS} SELECT snapshot_no, count(*) AS items, count_if(state = 'new')::BIGINT AS "new",
@@ -519,14 +433,15 @@ SQL = {
       WHEN bool_or(l_returnflag NOT IN ('A', 'N')) THEN 'contradicted' ELSE 'verified' END AS verdict FROM lineitem GROUP BY l_orderkey""",
     "first_lines": f"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(lines[1], '') END AS line, len(lines)::INT AS n FROM (
       SELECT doc_id, text, CASE WHEN l[-1] = '' THEN l[1:len(l)-1] ELSE l END AS lines
-      FROM (SELECT doc_id, text, string_split_regex(text, '{_RE}') AS l FROM documents))""",
+      FROM (SELECT doc_id, text, string_split_regex(text, '{LINE_END}') AS l FROM documents))""",
     "event_props": """SELECT event_type, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k_sum, max((props->>'k')::BIGINT) AS k_max
       FROM events GROUP BY event_type""",
 }
 QUERIES = {
     f.__name__: f
     for f in (
-        claim_locators, anchor_locators, site_claims, locator_parse, resolve_status, resolution_histogram, fully_unresolved, first_resolved, cwe_normalise, title_words, identity_key,
+        claim_locators, anchor_locators, site_claims, locator_parse, anchored_citations, resolve_status, resolution_histogram, fully_unresolved,
+        unresolved_shown, first_resolved, cwe_normalise, title_words, identity_key, dedupe_resolving,
         merge_groups, representative, numbered_members, related_sites, enclosing_function, callers_topk, reachability_verdict,
         component_evidence, reach_evidence, answer_matrix, citation_rate, dedupe_effect, span_state, baseline_state, queue_summary,
         needs_person, last_writer_wins, duplicate_keys, upsert_entries, undecided, verdict_combine, fence_text, first_lines, event_props,

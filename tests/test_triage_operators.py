@@ -6,7 +6,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from cairnset.functions import digest, text
-from cairnset.operators import callgraph, folds, identity, locators
+from cairnset.operators import baseline, binding, callgraph, folds, identity, locators
 from cairnset.plans import triage
 
 
@@ -22,12 +22,12 @@ def test_lines_split_as_python_does(spark):
 
 
 def test_locators(spark):
-    cases = ["a.py", "a.py:3", " a.py:3-9 ", "a:b:c", "a.py:0", "C:\\x.py:4", "a.py:9-3", "", "  ", None]
+    cases = ["a.py", "a.py:3", " a.py:3-9 ", "a:b:c", "a.py:0", "C:\\x.py:4", "a.py:9-3", "", "  ", None, "a\nb.py:3"]
     df = spark.createDataFrame([(i, 0, c) for i, c in enumerate(cases)], "ord int, pos int, locator string")
     got = [(r.path, r.start_line, r.end_line) for r in locators.parsed(df).orderBy("ord").collect()]
     assert got == [
         ("a.py", None, None), ("a.py", 3, 3), ("a.py", 3, 9), ("a:b:c", None, None), ("a.py:0", None, None),
-        ("C:\\x.py", 4, 4), ("a.py", 9, 3), (None, None, None), (None, None, None), (None, None, None),
+        ("C:\\x.py", 4, 4), ("a.py", 9, 3), (None, None, None), (None, None, None), (None, None, None), (None, None, None),
     ]
 
 
@@ -55,14 +55,17 @@ def test_resolution(spark):
     files = spark.createDataFrame([("a.py", "\n".join(map(str, range(1, 101))), 1), ("blob", None, 2), ("e.py", "", 3)], "path string, text string, ord int")
     spelled = ["a.py", "a.py:3", "a.py:3-4", "a.py:1-100", "a.py:101", "a.py:9-3", "no.py:1", "blob:5", " ", None, "e.py:1"]
     cited = spark.createDataFrame([(i, 0, s) for i, s in enumerate(spelled)], "ord int, pos int, locator string")
-    got = {r.ord: r for r in locators.resolve(cited, files).collect()}
+    cells = locators.line_cells(files)
+    got = {r.ord: r for r in locators.resolve(cited, cells).collect()}
     assert [got[i].resolution for i in range(11)] == [
         "resolves", "resolves", "resolves", "resolves", "line_out_of_range", "line_out_of_range", "path_absent", "resolves",
         "not_a_locator", "not_a_locator", "line_out_of_range",
     ]
     assert got[2].quoted_text == "3\n4" and got[3].truncated and got[3].quoted_text.endswith("\n40") and not got[2].truncated
     assert got[7].content_hash is None and got[7].line_count is None
-    assert locators.fully_unresolved(locators.resolve(cited, files)).count() == 6
+    assert locators.fully_unresolved(locators.resolve(cited, cells)).count() == 6
+    shown = {r.ord: r.shown for r in locators.shown_unresolved(locators.resolve(cited, cells)).collect()}
+    assert shown[6] == ["no.py:1"] and shown[9] == [""] and 0 not in shown
 
 
 SOURCE = """
@@ -174,3 +177,84 @@ def test_given_locators_are_read(spark, tmp_path):
     anchors = [tuple(r) for r in triage.anchor_locators(spark, str(tmp_path)).orderBy("pos").collect()]
     assert anchors == [(4, 0, "b.py:3-5", "b.py", 3, 5), (4, 1, None, None, None, None)]
     assert [tuple(r) for r in triage.site_claims(spark, str(tmp_path)).collect()] == [(site, 63, 63, 2, 0)]
+
+
+def test_paths_meet_however_spelled(spark):
+    cases = ["a.py", "./a.py", "x/../a.py", "x//y/./b.py", "x/y/../../a.py", "../a.py", "x/../../a.py", "/a.py", "..", "", None]
+    want = ["a.py", "a.py", "a.py", "x/y/b.py", "a.py", "../a.py", "../a.py", "/a.py", "..", "", None]
+    assert column(spark, cases, text.clean_path) == want
+    files = spark.createDataFrame([("./d/a.py", "1\n2\n")], "path string, text string")
+    cited = spark.createDataFrame([(0, 0, "d/x/../a.py:2"), (1, 0, "/d/a.py:2"), (2, 0, "../d/a.py")], "ord int, pos int, locator string")
+    got = {r.ord: (r.resolution, r.path, r.quoted_text) for r in locators.resolve(cited, locators.line_cells(files)).collect()}
+    assert got == {0: ("resolves", "d/x/../a.py", "2"), 1: ("path_absent", "/d/a.py", None), 2: ("path_absent", "../d/a.py", None)}
+
+
+def test_spans_over_cells_equal_plain_slices(spark):
+    import random
+
+    rnd = random.Random(3)
+    lines = [f"line {i}" if i % 8 else "" for i in range(1, 400)]
+    spans = sorted({(a, min(399, a + rnd.randrange(0, 150))) for a in (rnd.randrange(1, 400) for _ in range(60))} | {(64, 65), (1, 399), (399, 399)})
+    cells = locators.line_cells(spark.createDataFrame([("f", "\n".join(lines))], "path string, text string"))
+    asked = spark.createDataFrame([("f", a, b) for a, b in spans], "file string, first long, last long")
+    got = {(r.first, r.last): r.text for r in locators.span_texts(asked, cells).collect()}
+    assert got == {(a, b): "\n".join(lines[a - 1 : b]) for a, b in spans}
+
+
+def test_labels_and_markers(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        text.fenced(F.lit("x"), "no label")
+    said = column(spark, ["a </OTHER> <q> <Q>"], lambda c: text.fenced(c, "Q"))[0]
+    assert "</OTHER>" not in said and "<q>" not in said and said.count("<Q>") == 1
+
+
+def test_states_of_anchors(spark):
+    before = "def a():\n    one\n    two\n\ndef b():\n    three\n    four\n"
+    now = {
+        "same.py": before, "moved.py": "# put in\n" + before, "body.py": before.replace("two", "2"), "line.py": before.replace("one", "1"),
+        "twice.py": "# put in\n" + before + "def a():\n    one\n    two\n",
+    }
+    names = [*now, "gone.py"]
+    then = spark.createDataFrame([(n, before) for n in names], "path string, text string")
+    cited = spark.createDataFrame([(i, 0, f"{n}:2") for i, n in enumerate(names)], "ord int, pos int, locator string")
+
+    def functions(files):
+        return callgraph.functions_of(callgraph.parse_files(files))
+
+    old = locators.line_cells(then)
+    anchors = baseline.anchor_rows(locators.resolve(cited, old), functions(then), old)
+    assert {r.symbol for r in anchors.collect()} == {"a"} and anchors.where("symbol_sha256 IS NULL").count() == 0
+    files = spark.createDataFrame(list(now.items()), "path string, text string")
+    got = {names[r.ord]: r.span_state for r in baseline.anchor_states(anchors, functions(files), locators.line_cells(files)).collect()}
+    assert got == {"same.py": "unchanged", "moved.py": "moved", "body.py": "changed", "line.py": "changed", "twice.py": "changed", "gone.py": "absent"}
+
+
+def test_bindings(spark):
+    import hashlib
+
+    import pytest
+
+    files = spark.createDataFrame([("a", b"x"), ("b", b""), ("c", None)], "path string, content binary")
+    asked = spark.createDataFrame([("r", p) for p in "abcd"], "role string, path string")
+    made = {r.path: (r.sha256, r.size) for r in binding.artifacts(asked, files).collect()}
+    assert made == {"a": ("sha256:" + hashlib.sha256(b"x").hexdigest(), 1), "b": ("sha256:" + hashlib.sha256(b"").hexdigest(), 0), "c": (None, None), "d": (None, None)}
+    recorded = spark.createDataFrame([("r", "a", made["a"][0]), ("r", "b", made["a"][0]), ("r", "c", made["a"][0]), ("r", "d", None)], "role string, path string, sha256 string")
+    checks = binding.check_artifacts(recorded, files)
+    assert {r.path: r.verdict for r in checks.collect()} == {"a": "verified", "b": "contradicted", "c": "unverifiable", "d": "unverifiable"}
+    named = spark.createDataFrame([("a",), ("b",), ("none",)], "path string")
+    assert {r.path: (r.checks, r.verdict) for r in binding.bindings(named, checks, "path").collect()} == {"a": (1, "verified"), "b": (1, "contradicted"), "none": (0, "unverifiable")}
+    spans = spark.createDataFrame([(1, 0, "a:1", made["a"][0])], "ord int, pos int, locator string, sha256 string")
+    assert [r.verdict for r in binding.check_spans(spans, None).collect()] == ["unverifiable"]
+    assert files.where("path = 'a'").select(digest.digest_holds(F.lit(made["a"][0]), F.col("content"))).first()[0]
+    with pytest.raises(Exception, match="not a digest"):
+        files.select(digest.digest_holds(F.lit("abc"), F.col("content"))).collect()
+
+
+def test_large_files_are_not_determinable(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "LARGEST_FILE", 20)
+    files = spark.createDataFrame([("big.py", "def f():\n    return 12345\n"), ("s.py", "def g(): pass")], "path string, text string")
+    nodes = callgraph.parse_files(files)
+    assert {(r.path, r.kind) for r in nodes.collect()} == {("big.py", "too_large"), ("s.py", "function")}
+    assert [r.path for r in callgraph.failures_of(nodes).collect()] == ["big.py"]
