@@ -36,7 +36,6 @@ LEVELS = 4  #: splits of a bucket at most; what is left then is compared in bloc
 TARGET_RECALL = 0.98  #: of pairs exactly at the threshold, however often their buckets are split
 RUN = 255  #: low bits of a bucket that hold its run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
-EXPANDED = 1_000  #: ``all_pairs`` gives groups of more exact copies as links to their first record
 PAIR_BLOCK = 1_000  #: pairs of a large group are made in blocks of about so many by so many records
 
 WORD = re.compile("[a-z0-9]+")  #: fixed value: a word of a lower-cased text
@@ -362,17 +361,23 @@ def sketch_value(i: Column) -> Column:
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs whose Jaccard similarity of shingles, from the texts (id, text), reaches the threshold."""
+    """The pairs whose Jaccard similarity of shingles, from the texts (id, text), reaches the threshold.
+
+    A task takes the pairs of one text after the other and makes its shingles once.
+    """
 
     def runs_of(text: str) -> set[tuple[str, ...]]:
         words = WORD.findall(text.lower())
         return set(zip(*[words[k:] for k in range(size)]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, set()
         for batch in batches:
             same = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = runs_of(a), runs_of(b)
+            for a, b, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist()):
+                if i != last:
+                    last, y = i, runs_of(b)
+                x = runs_of(a)
                 common = len(x & y)
                 same.append(common >= threshold * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
@@ -380,7 +385,8 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int
     ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     needed = ends.join(texts, "id")
     both = pairs.join(needed.toDF("id_a", "text_a"), "id_a").join(needed.toDF("id_b", "text_b"), "id_b")
-    return both.select("id_a", "id_b", "text_a", "text_b").mapInArrow(verify, "id_a bigint, id_b bigint")
+    ordered = both.select("id_a", "id_b", "text_a", "text_b").sortWithinPartitions("id_b")
+    return ordered.mapInArrow(verify, "id_a bigint, id_b bigint")
 
 
 def equal_texts(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,13 +402,14 @@ def equal_texts(embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def similar_texts(
-    texts: DataFrame, threshold: float, size: int, least_words: int, recall: float = TARGET_RECALL
+    texts: DataFrame, threshold: float, size: int, least_words: int, recall: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Links between representatives of equal texts (id_a < id_b), and members (id, rep, copies).
 
     ``texts`` holds id and text. Texts of fewer than ``least_words`` words, or
-    fewer than ``size``, take no part.
+    fewer than ``size``, take no part. The recall aimed at is TARGET_RECALL if none is given.
     """
+    recall = TARGET_RECALL if recall is None else recall
     runs = runs_needed(threshold, recall)
     equal, members = equal_texts(cut(embed(texts, size, least_words, MOST_RUNS)))
     members = cut(members)
@@ -446,23 +453,6 @@ def every_pair(links: DataFrame, members: DataFrame) -> DataFrame:
     return in_blocks(left, right, ["id_a", "id_b"])
 
 
-def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a < b) of linked or equal records, in short form for large groups; ``every_pair`` gives all of them.
-
-    Of a group of more than EXPANDED exact copies only the representative takes
-    part in pairs, and each copy is given as a pair with it. Together with
-    ``members`` all pairs follow, without writing the square of the group.
-    """
-    open_members = members.where(f"copies <= {EXPANDED} OR id = rep").select("id", "rep")
-    within = members.where(f"copies BETWEEN 2 AND {EXPANDED}").select("id", "rep")
-    equal = within.alias("x").join(within.alias("y"), F.expr("x.rep = y.rep AND x.id < y.id")).select("x.id", "y.id")
-    starred = members.where(f"copies > {EXPANDED} AND id <> rep").select("rep", "id")
-    left = open_members.toDF("a", "id_a")
-    right = open_members.toDF("b", "id_b")
-    crossed = links.join(left, "id_a").join(right, "id_b").select(F.least("a", "b"), F.greatest("a", "b"))
-    return equal.toDF("a", "b").unionAll(starred.toDF("a", "b")).unionAll(crossed.toDF("a", "b"))
-
-
 def claim_texts(claims: DataFrame) -> DataFrame:
     """id and text of each claim: title, one space, raw text; nulls are empty."""
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "raw_text")]
