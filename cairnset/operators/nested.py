@@ -5,19 +5,30 @@ it. The label of the parent is the label cut to the parent's depth, so tables
 join by truncation and need no generated keys. Elements are grouped into tables
 by their schema path. All steps are Spark's own VARIANT expressions and
 explodes inside one stage: no shuffle, and no state beyond one document.
+
+A VARIANT holds strings of up to 20 million characters and 128 MiB in all. A
+document that could go beyond is taken apart in Arrow batches, by the same
+steps, into elements that do not hold the elements of tables below them; these
+become VARIANTs one by one. What still is too large is reported, not lost.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import strip_blanks
 
 VARIANT_ARRAY = "array<variant>"
+LARGE_DOCUMENT = 16_000_000  #: a longer document is taken apart before it becomes VARIANTs
+LARGEST_ELEMENT = 100_000_000  #: bytes of an element, without the elements of tables below it, that a VARIANT holds for certain
+LONG_STRINGS = {"maxStringLen": "2000000000"}
 
 
 @dataclass(frozen=True)
@@ -96,50 +107,147 @@ def parse_whole(payload: Column) -> Column:
     return F.get(F.transform(F.array(parsed), first), F.lit(0))
 
 
-def parse_documents(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
-    """Root nodes; payloads that are not valid JSON as a whole have a null one.
+def last_key_counts(df: DataFrame, make) -> DataFrame:
+    """``make()`` with JSON parsed so that of a repeated key the last one counts: that is valid JSON.
 
-    Null, blank, truncated and otherwise invalid payloads, and roots that are no
-    object, have no members, so they give no rows to any table. They are not
-    filtered here: a filter would parse each payload once more. Where an object
-    repeats a key, the last one counts: that is valid JSON. The parser takes this
-    setting when the expression is made, so the session gets its own back.
+    The parser takes this setting when the expression is made, so the session gets its own back.
     """
     conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
     before = conf.get(name)
     conf.set(name, "true")
     try:
-        return df.select(*keys, parse_whole(F.col(payload)).alias("node"), F.array().cast("array<int>").alias("label"))
+        return make()
     finally:
         conf.set(name, before)
 
 
+def parse_documents(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """Root nodes; payloads that are not valid JSON as a whole have a null one.
+
+    Null, blank, truncated and otherwise invalid payloads, and roots that are no
+    object, have no members, so they give no rows to any table. They are not
+    filtered here: a filter would parse each payload once more. Where an object
+    repeats a key, the last one counts.
+    """
+    label = F.array().cast("array<int>").alias("label")
+    return last_key_counts(df, lambda: df.select(*keys, parse_whole(F.col(payload)).alias("node"), label))
+
+
+def not_json(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
+def inner_elements(node: object) -> list:
+    """What ``elements`` gives, of a parsed document."""
+    return node if isinstance(node, list) else [node] if isinstance(node, dict) else []
+
+
+def reached(node: object, steps: list[str]) -> list:
+    """What ``walk`` gives, of a parsed document."""
+    found = [node]
+    for step in steps:
+        inside = [x.get(step.removeprefix(".")) if isinstance(x, dict) else None for x in found]
+        found = inside if step.startswith(".") else [y for x in inside for y in inner_elements(x)]
+    return found
+
+
+def take_apart(text: str, tables: list[NodeTable], largest: int) -> Iterator[tuple]:
+    """Elements (table, label, parent_label, branch, pos, node) of one document, the node as JSON.
+
+    Nodes are without the members that lead to tables below them. A document or
+    an element that gives no row comes out with the table ``rejected`` and the
+    reason as its branch.
+    """
+    try:
+        root = json.loads(text, parse_constant=not_json)
+    except (ValueError, RecursionError):
+        yield "rejected", None, None, "not valid JSON as a whole", None, None
+        return
+    if not isinstance(root, dict):
+        yield "rejected", None, None, "no object on top", None, None
+        return
+    level: dict[str | None, list[tuple[list[int], object]]] = {None: [([], root)]}
+    for t in tables:
+        level[t.name] = []
+        below = {steps[0] for u in tables if u.parent == t.name for steps in u.branches.values()}
+        for above, parent in level[t.parent]:
+            for n, (branch, steps) in enumerate(t.branches.items()):
+                for pos, node in enumerate(reached(parent, steps)):
+                    label = [*above, n, pos] if len(t.branches) > 1 else [*above, pos]
+                    level[t.name].append((label, node))
+                    own = json.dumps({k: v for k, v in node.items() if k not in below}, ensure_ascii=False) if isinstance(node, dict) else None
+                    if own and len(own) * 4 > largest and len(own.encode(errors="surrogatepass")) > largest:
+                        yield "rejected", label, above, f"an element of {t.name} is too large", pos, None
+                        own = None
+                    yield t.name, label, above, branch, pos, own
+
+
+ELEMENT_SCHEMA = "`table` string, label array<int>, parent_label array<int>, branch string, pos int, node string"
+
+
+def large_elements(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> DataFrame:
+    """Elements of the large documents, one document in memory at a time."""
+    names = ["table", "label", "parent_label", "branch", "pos", "node"]
+    at_once, largest = LARGE_DOCUMENT, LARGEST_ELEMENT
+    kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string()]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows: list[tuple] = []
+                size = 0
+                for row in take_apart(batch.column(len(keys))[i].as_py(), tables, largest):
+                    rows.append(row)
+                    size += len(row[5] or "") + 100
+                    if size > at_once:
+                        yield made(batch, i, rows)
+                        rows, size = [], 0
+                if rows:
+                    yield made(batch, i, rows)
+
+    def made(batch: pa.RecordBatch, i: int, rows: list[tuple]) -> pa.RecordBatch:
+        own = [batch.column(k).take(pa.array([i] * len(rows))) for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=[*keys, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    large = df.where(F.length(payload) > LARGE_DOCUMENT)
+    return large.select(*keys, payload).mapInArrow(split, f"{schema}, {ELEMENT_SCHEMA}")
+
+
+def rejected_documents(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> DataFrame:
+    """Keys and ``reason`` of documents that give no rows, or not all: null, not valid JSON, no object on top, an element too large."""
+    small = df.where(F.length(payload).isNull() | (F.length(payload) <= LARGE_DOCUMENT))
+    roots = parse_documents(small.select(*keys, F.col(payload).alias("_p")), [*keys, "_p"], "_p")
+    reason = (
+        F.when(F.col("_p").isNull(), "null").when(F.col("node").isNull(), "not valid JSON as a whole").when(~is_object(F.col("node")), "no object on top")
+    )
+    found = large_elements(df, keys, payload, tables).where("table = 'rejected'").select(*keys, F.col("branch").alias("reason"))
+    return roots.select(*keys, reason.alias("reason")).where("reason IS NOT NULL").unionAll(found.distinct())
+
+
 def shred(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> dict[str, DataFrame]:
     """Flat tables by name, each with keys, ``label``, ``parent_label``, ``branch``, ``pos`` and fields.
 
     ``node`` keeps the element itself for further projection. Elements of an
     unexpected type keep their position and give null fields. ``tables`` must
-    list parents before children.
+    list parents before children. In documents beyond LARGE_DOCUMENT characters
+    ``node`` is without the members that lead to tables below.
     """
-    made: dict[str | None, DataFrame] = {None: parse_documents(df, keys, payload)}
+    small = df.where(F.length(payload) <= LARGE_DOCUMENT)
+    made: dict[str | None, DataFrame] = {None: parse_documents(small, keys, payload)}
+    split = large_elements(df, keys, payload, tables)
+    parsed = F.from_json("node", "variant", LONG_STRINGS)
+    large = last_key_counts(df, lambda: split.withColumn("node", parsed))
+    shown = {}
     for t in tables:
         several = len(t.branches) > 1
         parts = [_numbered(walk(F.col("node"), s), b, n) for n, (b, s) in enumerate(t.branches.items())]
-        inner = made[t.parent].select(
-            *keys, F.col("label").alias("parent_label"), F.explode(F.concat(*parts)).alias("e")
-        )
+        inner = made[t.parent].select(*keys, F.col("label").alias("parent_label"), F.explode(F.concat(*parts)).alias("e"))
         step = F.array("e.branch_no", "e.pos") if several else F.array("e.pos")
-        made[t.name] = inner.select(
-            *keys,
-            F.concat("parent_label", step).alias("label"),
-            "parent_label",
-            "e.branch",
-            "e.pos",
-            "e.node",
-            *[F.try_variant_get("e.node", f"$.{p}", kind).alias(c) for c, (p, kind) in t.fields.items()],
-        )
-    del made[None]
-    return made
+        made[t.name] = inner.select(*keys, F.concat("parent_label", step).alias("label"), "parent_label", "e.branch", "e.pos", "e.node")
+        both = made[t.name].unionByName(large.where(F.col("table") == t.name).select(*made[t.name].columns))
+        shown[t.name] = both.select("*", *[F.try_variant_get("node", f"$.{p}", kind).alias(c) for c, (p, kind) in t.fields.items()])
+    return shown
 
 
 def parent_of(label: Column, depth: int) -> Column:
@@ -212,6 +320,11 @@ def report_tables(reports: DataFrame) -> dict[str, DataFrame]:
     return {name: t.drop("node") for name, t in made.items()}
 
 
+def rejected_reports(reports: DataFrame) -> DataFrame:
+    """report_id and reason of each report that gives no rows, or not all of its rows."""
+    return rejected_documents(reports, ["report_id"], "payload", REPORT_TABLES)
+
+
 def report_locations(reports: DataFrame) -> DataFrame:
     """One row per location with a usable uri: its place in the report and its locator."""
     found = report_tables(reports)["locations"].where(F.length(strip_blanks(F.col("uri"))) > 0)

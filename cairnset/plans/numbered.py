@@ -48,6 +48,10 @@ def p4_results(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return nested.rejected_reports(table(spark, d, "sarif_reports"))
+
+
 STATES_SQL = f"""
 keyed AS (
   SELECT snapshot_no, entry_row, {digest_sql('identity_key')} AS identity_key,
@@ -141,10 +145,14 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_intervals": p1_intervals,
     "p4_found": p4_found,
+    "p4_rejected": p4_rejected,
     "p4_runs": p4_runs,
     "p4_results": p4_results,
 }
 SQL = {
+    "p4_rejected": """SELECT report_id, CASE WHEN payload IS NULL THEN 'null' WHEN NOT json_valid(payload) THEN 'not valid JSON as a whole' ELSE 'no object on top' END AS reason
+      FROM (SELECT report_id, payload FROM sarif_reports)
+      WHERE payload IS NULL OR NOT json_valid(payload) OR json_type(CASE WHEN json_valid(payload) THEN payload END) <> 'OBJECT'""",
     "p1_found": P1_SQL,
     "p1_intervals": INTERVALS_SQL,
     "p4_found": P4_SQL,

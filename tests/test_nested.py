@@ -79,3 +79,33 @@ def test_the_last_of_repeated_keys_counts(spark):
     payloads = [good.replace('"startLine": 3', '"startLine": 3, "startLine": 5'), '{"runs": [], ' + good[1:], good[:-1] + ', "runs": []}', good]
     assert [(r[0], r[5]) for r in found(spark, *payloads)] == [(0, "a.py:5"), (1, "a.py:3"), (3, "a.py:3")]
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == before
+
+
+def test_large_reports_come_out_whole(spark, monkeypatch):
+    """The way for large documents gives what the other one gives, and documents beyond a VARIANT's limits come out."""
+    docs = [
+        one(None, 5, loc(" "), loc("a", startLine=3, endLine=9), {}, relatedLocations=loc("y"), codeFlows=[{"threadFlows": {"locations": [{"location": loc("z")}, {}]}}], ruleId="r"),
+        {"runs": {"results": {"locations": loc("x")}, "tool": {"driver": {"name": "t", "version": 3}}}}, {"runs": [None, {"results": [7, {"message": {"text": "m"}}]}]},
+        [1], None, '{"runs": [1], "runs": [{"results": [{"locations": {}}]}]}', '{"runs": [NaN]}', '{"runs": [}',
+    ]
+
+    def seen():
+        made = nested.report_tables(reports(spark, *docs))
+        return [sorted(map(str, t.collect())) for t in made.values()] + [sorted(map(tuple, nested.rejected_reports(reports(spark, *docs)).collect()))]
+
+    plain = seen()
+    assert plain[-1] == [(3, "no object on top"), (4, "null"), (6, "not valid JSON as a whole"), (7, "not valid JSON as a whole")]
+    monkeypatch.setattr(nested, "LARGE_DOCUMENT", 1)
+    assert seen() == plain
+    monkeypatch.undo()
+
+    long = one(loc("u" * 21_000_000, startLine=4), loc("b.py"), message={"text": "m" * 21_000_000})
+    many = {"runs": [{"results": [{"locations": [loc(f"f{i}.py")], "note": "n" * 1024} for i in range(132_000)]}]}
+    got = nested.report_locations(reports(spark, long, many))
+    assert sorted((r.report_id, r.n, r.longest) for r in got.groupBy("report_id").agg(F.count("*").alias("n"), F.max(F.length("locator")).alias("longest")).collect()) == [
+        (0, 2, 21_000_002), (1, 132_000, 10),
+    ]
+    monkeypatch.setattr(nested, "LARGEST_ELEMENT", 50_000)
+    big = {"runs": [{"results": [{"locations": [loc("a.py"), {"x": "y" * 17_000_000}]}]}]}
+    assert [tuple(r) for r in nested.rejected_reports(reports(spark, big)).collect()] == [(0, "an element of locations is too large")]
+    assert [r.locator for r in nested.report_locations(reports(spark, big)).collect()] == ["a.py"]
