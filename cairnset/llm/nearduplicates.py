@@ -8,16 +8,17 @@ compared by brute force; larger ones are split again on further values sampled
 for that bucket, which are taken from the set's 256-bit sketch (4 bits of each
 MinHash value), up to LEVELS times. Each split costs recall, so the splits that
 took place are counted, and runs are repeated for the sets that need more until
-a pair at the threshold is met with the target recall. Pairs that meet are screened by the
-sketch inside the join and verified exactly on their texts.
+a pair at the threshold is met with the target recall; each repetition embeds
+those sets anew, so its values are independent of the ones before. Pairs that
+meet are screened by the sketch inside the join and verified exactly on their texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from cairnset.session import cut
 
 COORDINATES = 64  #: MinHash values per set; each gives 4 bits of the sketch
-MOST_RUNS = 24  #: of the values, so many can name the buckets of runs; those not used in the first round split large buckets
+MOST_RUNS = 16  #: runs of one embedding at most, each named by one value; the other values split large buckets
 BUCKET = 1024  #: a bucket of at most so many sets is compared by brute force
 HOT_BUCKETS = 10_000  #: at most so many buckets are split before their rows are brought together
 FANOUT = 4  #: pairs of values sampled in each bucket that is split again
 LEVELS = 4  #: splits of a bucket at most; what is left then is compared in blocks of BUCKET by BUCKET sets
 TARGET_RECALL = 0.98  #: of pairs exactly at the threshold, however often their buckets are split
+SWEPT_ROWS = 60_000  #: rows that a task compares in one go; speed only
 RUN = 255  #: low bits of a bucket that hold its run
 SCREEN_SIGMAS = 3.5  #: pairs at the threshold pass the sketch but for so many standard deviations
 PAIR_BLOCK = 1_000  #: pairs of a large group are made in blocks of about so many by so many records
@@ -58,14 +60,16 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame:
+def embed(texts: DataFrame, size: int, least_words: int, runs: int, seed: int = 0) -> DataFrame:
     """Texts (id, text) become id, seq_a and seq_b (a hash of the words in order), mins of each run, and the sketch s0 to s3.
 
+    Another ``seed`` gives independent values.
+
     Texts of fewer than ``least_words`` words, null and empty ones among them,
     are left out. Whole texts are read once, in Arrow batches.
     """
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    rng = np.random.default_rng(7 + seed)
+    factors = rng.integers(1, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     names = ["id", "seq_a", "seq_b", "mins", "s0", "s1", "s2", "s3"]
     least = max(least_words, size)
 
@@ -82,10 +86,12 @@ def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame
         # Every other segment holds the runs that would reach into the next text.
         segments = np.column_stack([starts, stops - size + 1]).ravel() if size > 1 else starts
         step = 2 if size > 1 else 1
-        base = mix(shingles, 0)
+        base = (mix(shingles, 0) >> np.uint64(32)).astype(np.uint32)
         mins = np.empty((len(starts), COORDINATES), dtype=np.uint32)
+        hashed = np.empty_like(base)
         for k in range(COORDINATES):
-            mins[:, k] = np.minimum.reduceat(((base * factors[k]) >> np.uint64(32)).astype(np.uint32), segments)[::step]
+            np.multiply(base, factors[k], out=hashed)
+            mins[:, k] = np.minimum.reduceat(hashed, segments)[::step]
         return np.add.reduceat(mix(ordered, 1), starts), np.bitwise_xor.reduceat(mix(ordered, 2), starts), mins
 
     def embed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +115,7 @@ def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame
             if not made:
                 continue
             a, b, mins = (np.concatenate(x) for x in zip(*made))
-            nibbles = (mins & np.uint32(15)).astype(np.uint64).reshape(-1, 4, 16)
+            nibbles = (mins >> np.uint32(8) & np.uint32(15)).astype(np.uint64).reshape(-1, 4, 16)
             sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
             paths = np.ascontiguousarray(mins[:, :runs]).view(np.int32)
             offsets = pa.array(np.arange(0, paths.size + 1, runs, dtype=np.int32))
@@ -126,21 +132,44 @@ def embed(texts: DataFrame, size: int, least_words: int, runs: int) -> DataFrame
     return texts.select("id", "text").mapInArrow(embed_batches, schema)
 
 
-def met(threshold: float, splits: int) -> float:
+def met(threshold: float, splits: int, agree: float | None = None) -> float:
     """Chance that a pair at the threshold is compared in a run that splits its bucket so many times.
 
-    Sampled values count as independent. Of the FANOUT branches of a split each
-    goes on if both values agree, so the chances do not simply multiply.
+    ``agree`` is the share of the split values that agree; as expected if not
+    given. Of the FANOUT branches of a split each goes on if both values agree,
+    so the chances do not simply multiply.
     """
-    agree, below = threshold + (1 - threshold) / 16, 1.0
+    agree, below = threshold + (1 - threshold) / 16 if agree is None else agree, 1.0
     for _ in range(splits):
         below = 1 - (1 - agree**2 * below) ** FANOUT
     return threshold * below
 
 
+@lru_cache(maxsize=None)
+def run_loss(threshold: float, splits: int, recall: float) -> float:
+    """By how much the logarithm of the chance to miss a pair falls with a run of so many splits.
+
+    The runs of one embedding split by the same values, of which more or fewer
+    agree from pair to pair. So the chance to miss is taken over that spread, and
+    a run counts as its share of those it takes to reach the recall.
+    """
+    n, p = COORDINATES - MOST_RUNS, threshold + (1 - threshold) / 16
+    shares = [(math.comb(n, x) * p**x * (1 - p) ** (n - x), met(threshold, splits, x / n)) for x in range(n + 1)]
+
+    def missed(runs: float) -> float:
+        return sum(w * (1 - m) ** runs for w, m in shares)
+
+    few, many = 0.0, 1.0
+    while missed(many) > 1 - recall:
+        many *= 2
+    for _ in range(50):
+        few, many = ((few + many) / 2, many) if missed((few + many) / 2) > 1 - recall else (few, (few + many) / 2)
+    return -math.log(1 - recall) / many
+
+
 def runs_needed(threshold: float, recall: float) -> int:
     """Runs of the first round: enough where no bucket is split more than once. ``repeated_runs`` adds to them."""
-    return min(MOST_RUNS, math.ceil(math.log(1 - recall) / math.log(1 - met(threshold, 1))))
+    return min(MOST_RUNS, math.ceil(-math.log(1 - recall) / run_loss(threshold, 1, recall)))
 
 
 def agreements(a: str, b: str) -> Column:
@@ -166,7 +195,7 @@ def compare_buckets(rows: DataFrame, threshold: float) -> DataFrame:
 
     Rows (bucket, id, s0 to s3) are brought together by bucket and sorted, and
     one pass over each partition compares every row with those that follow it in
-    its bucket. Never more than a batch and BUCKET rows are held. Pairs come out
+    its bucket. Never more than about SWEPT_ROWS and BUCKET rows are held. Pairs come out
     as (null, id_a, id_b), rows of larger buckets as (bucket, id, null, s0 to s3).
     """
     least, size = least_agreements(threshold), BUCKET
@@ -209,12 +238,22 @@ def compare_buckets(rows: DataFrame, threshold: float) -> DataFrame:
         columns += [pa.array(np.r_[pad, large[:, k]], mask=mask) for k in range(2, 6)]
         return pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "other", "s0", "s1", "s2", "s3"])
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+            n += len(held[-1])
+            if n >= SWEPT_ROWS:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.empty((0, 6), dtype=np.int64)
         over = None  # a large bucket whose first rows have gone out
         none = np.empty(0, dtype=np.int64)
-        for batch in batches:
-            rows = np.column_stack([c.to_numpy() for c in batch.columns])
+        for rows in gathered(batches):
             if over is not None:
                 more = rows[:, 0] == over
                 if more.any():
@@ -314,7 +353,7 @@ def short_of_recall(sets: DataFrame, splits: list[DataFrame], threshold: float,
     pair is missed no more often than either of its sets allows, so it is enough
     to go on with pairs of sets that are both short.
     """
-    loss = [math.log1p(-met(threshold, k)) for k in range(2 * LEVELS + 1)]
+    loss = [-run_loss(threshold, k, recall) for k in range(2 * LEVELS + 1)]
     more = F.get(F.array(*[F.lit(x - loss[0]) for x in loss]), F.col("times"))
     times = F.bit_count(F.bit_or("at")).alias("times")
     by_run = reduce(DataFrame.unionAll, splits).groupBy("id", "run").agg(times)
@@ -324,33 +363,32 @@ def short_of_recall(sets: DataFrame, splits: list[DataFrame], threshold: float,
     return all_short.where(F.col("loss") > math.log(1 - recall) + 1e-9)
 
 
-def repeated_runs(sets: DataFrame, threshold: float, recall: float, runs: int) -> DataFrame:
+def repeated_runs(
+    sets: DataFrame, again: Callable[[DataFrame, int], DataFrame], threshold: float, recall: float, runs: int
+) -> DataFrame:
     """Distinct candidate pairs of ``sets`` (id, mins, s0 to s3), with as many runs as their splits call for.
 
     The first ``runs`` values of ``mins`` name the buckets of all sets; those that
-    come short of the recall go through further runs among themselves.
+    come short of the recall go through further runs among themselves, embedded
+    anew by ``again`` (ids and the number of the round).
     """
-    allowed, first, taken, found = math.log(1 - recall), runs, 0, []
+    allowed, rounds, found = math.log(1 - recall), 0, []
     left = sets.select("id", F.lit(0.0).alias("loss"))
-    now = sets.withColumn("mins", F.slice("mins", 1, runs))
     while True:
+        now = sets.withColumn("mins", F.slice("mins", 1, runs))
         pairs, splits = chosen_path_pairs(now, threshold, runs)
         found.append(pairs)
-        taken += runs
-        once = len(splits) <= 1 and taken == first and runs * math.log1p(-met(threshold, len(splits))) <= allowed
-        if once:  # nobody was split more often than the first round allows for
-            break
+        if not rounds and len(splits) <= 1 and runs * -run_loss(threshold, len(splits), recall) <= allowed + 1e-9:
+            break  # nobody was split more often than the first round allows for
         nothing = left.select("id", F.lit(0).cast("bigint").alias("run"), F.lit(0).alias("at")).limit(0)
         left = cut(short_of_recall(left, [nothing, *splits], threshold, recall, runs))
         worst, deepest = left.agg(F.max("loss"), F.max("deepest")).first()
         if worst is None:
             break
-        if taken == MOST_RUNS:
-            raise ValueError(f"{MOST_RUNS} runs do not reach a recall of {recall} at {threshold}")
-        runs = min(MOST_RUNS - taken, math.ceil((worst - allowed) / -math.log1p(-met(threshold, deepest))))
-        wanted = sets.select("id", F.slice("mins", taken + 1, runs).alias("mins"), "s0", "s1", "s2", "s3")
-        now = cut(wanted.join(left.select("id"), "id", "left_semi"))
+        rounds += 1
+        runs = min(MOST_RUNS, math.ceil((worst - allowed) / run_loss(threshold, deepest, recall)))
         left = left.select("id", "loss")
+        sets = cut(again(left.select("id"), rounds))
     return reduce(DataFrame.unionAll, found).distinct()
 
 
@@ -413,7 +451,11 @@ def similar_texts(
     runs = runs_needed(threshold, recall)
     equal, members = equal_texts(cut(embed(texts, size, least_words, MOST_RUNS)))
     members = cut(members)
-    candidates = repeated_runs(equal.select("first.*"), threshold, recall, runs)
+
+    def again(ids: DataFrame, number: int) -> DataFrame:
+        return embed(texts.join(ids, "id"), size, least_words, MOST_RUNS, number).drop("seq_a", "seq_b")
+
+    candidates = repeated_runs(equal.select("first.*"), again, threshold, recall, runs)
     return cut(verify_pairs(candidates, texts, threshold, size)), members
 
 
