@@ -50,16 +50,36 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, local runs) a temporary folder is chosen
-    and set, once per application.
+    Only a local session may leave it unset; then a temporary folder is chosen
+    and set, once per application. On a cluster that is an error, as each
+    executor would write to its own disk.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    if folder:
-        return folder.rstrip("/")
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if not folder and known.isEmpty():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the executors of {sc.master} share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if known.isEmpty():
+        sc.setCheckpointDir(folder)
+    return (folder or known.get()).rstrip("/")
+
+
+_folders: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's own tables below the shared one; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        path = f"{shared_dir(spark)}/cairnset-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        there = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = there.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(there)
+        files.deleteOnExit(there)
+        _folders[sc.applicationId] = path
+    return _folders[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -77,7 +97,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that an operator keeps."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def fits_broadcast(df: DataFrame, rows: int) -> bool:

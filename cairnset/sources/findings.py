@@ -8,15 +8,21 @@ counts as missing where a string is wanted.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import strip_blanks
+from cairnset.functions.jsontext import pretty_json
 from cairnset.functions.text import first_line, split_lines
 from cairnset.operators import nested
 
 #: Members that tell the formats apart.
 FEED_KEYS = ["signature", "code_paths", "finding_id"]
+#: The tool of a feed by the prefix of a row's signature, and where none fits.
+FEED_TOOLS = {"codex-security/": "Codex Security"}
+FEED_TOOL = "Mantis"
 #: Folders that a source scan passes over.
 SKIPPED_FOLDERS = [".venv", "site-packages", "__pycache__", ".git"]
 LARGEST_FILE = 1_000_000
@@ -92,15 +98,22 @@ def string_list(node: Column, path: str) -> Column:
     return F.when(text_of(node, path).isNotNull(), F.array(text_of(node, path))).otherwise(texts)
 
 
-def feed_claims(lines: DataFrame, key: str, line: str) -> DataFrame:
-    """One claim per JSON line that is an object: signature, else finding_id, else a digest names it."""
-    rows = lines.select(key, line, nested.parse_whole(F.col(line)).alias("node"))
+def feed_claims(lines: DataFrame, key: str | list[str], line: str) -> DataFrame:
+    """One claim per JSON line that is an object: signature, else finding_id, else a digest of key and title names it.
+
+    The tool follows from the signature's prefix. The raw text is the row in one
+    fixed form, so that it is the same however the row was spelled.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rows = lines.select(*keys, line, nested.parse_whole(F.col(line)).alias("node"))
     n = F.col("node")
-    named = F.coalesce(filled(text_of(n, "signature")), filled(text_of(n, "finding_id")), digest_id("feed", F.col(line)))
+    signature, title = filled(text_of(n, "signature")), F.coalesce(text_of(n, "title"), F.lit(""))
+    named = F.coalesce(signature, filled(text_of(n, "finding_id")), digest_id("feed", F.col(keys[0]).cast("string"), title))
+    tool = reduce(lambda other, x: F.when(F.startswith(signature, F.lit(x[0])), x[1]).otherwise(other), FEED_TOOLS.items(), F.lit(FEED_TOOL))
     return rows.where(nested.is_object(n)).select(
-        key, named.alias("claim_id"), F.coalesce(text_of(n, "title"), F.lit("")).alias("title"), F.col(line).alias("raw_text"),
+        *keys, named.alias("claim_id"), title.alias("title"), pretty_json(F.col(line)).alias("raw_text"),
         string_list(n, "code_paths").alias("locators"), filled(F.array_join(string_list(n, "cwe"), ", ")).alias("weakness"),
-        filled(text_of(n, "severity")).alias("severity"),
+        filled(text_of(n, "severity")).alias("severity"), tool.alias("tool"),
     )
 
 
@@ -132,13 +145,17 @@ def text_claims(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
-    """path (below the root) and text of source files, null where a file is not UTF-8.
+    """path (below the root), text and state of source files: ``text``, ``not_utf8`` or ``too_large``.
 
-    Files above a megabyte and the usual generated folders are passed over; size
-    and path are filtered before any content is read.
+    The usual generated folders are passed over. A file above a megabyte has a
+    null text like one that is not UTF-8, so citations of it resolve without a
+    quotation; size and path are looked at before any content is read.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     skipped = "(^|/)(" + "|".join(x.replace(".", "\\.") for x in SKIPPED_FOLDERS) + ")/"
     below = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", "")
-    kept = read.where(F.col("length") <= LARGEST_FILE).select(below.alias("path"), "content").where(~F.col("path").rlike(skipped))
-    return kept.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    named = read.withColumn("path", below).where(~F.col("path").rlike(skipped))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    small = named.where(F.col("length") <= LARGEST_FILE).select("path", text.alias("text"))
+    large = named.where(F.col("length") > LARGEST_FILE).select("path", F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("state"))
+    return small.withColumn("state", F.when(F.col("text").isNull(), "not_utf8").otherwise("text")).unionAll(large)

@@ -77,7 +77,7 @@ def test_source_tree(spark):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(content)
     got = {r.path: r.text for r in findings.source_tree(spark, str(root)).collect()}
-    assert got == {"a.py": "x = 1\n", "pkg/b.py": None}
+    assert got == {"a.py": "x = 1\n", "pkg/b.py": None, "big.py": None}
 
 
 def test_stream_keeps_the_newest_row(spark):
