@@ -157,10 +157,11 @@ def units_of(prepared: DataFrame) -> DataFrame:
 
 @dataclass
 class Segment:
-    """Part of a store: its number, how many entries and buckets it has, and the order of its digests."""
+    """Part of a store: its number, how many entries, digests of entries and buckets it has, and the order of its digests."""
 
     number: int
     entries: int
+    digests: int
     buckets: int
     order: np.ndarray
 
@@ -171,28 +172,29 @@ class Segment:
         return self._shared
 
 
-def planned(number: int, rows: DataFrame) -> Segment:
-    """A segment for rows with digests: counts, buckets, and the order from a count sketch.
+def count_order(rows: DataFrame) -> np.ndarray:
+    """The order of digests by a count sketch: a place for each SKETCH_BITS first bits, with the binary logarithm of its count.
 
     What comes to the driver is the sketch, at most 2^SKETCH_BITS counters
-    whatever the number of rows. A counter keeps the binary logarithm of its count.
+    whatever the number of rows.
     """
     place = F.conv(F.substring("d", 1, SKETCH_BITS // 4), 16, 10).cast("int").alias("place")
-    items = rows.select(F.explode(F.array_append(F.coalesce("digests", F.array().cast("array<string>")), F.lit(None))).alias("d"))
-    counted = items.groupBy(place).count().toArrow()
-    places, counts = (counted.column(k).to_pandas().to_numpy() for k in range(2))
-    there = ~pd.isna(places)
+    counted = rows.select(F.explode("digests").alias("d")).groupBy(place).count().toArrow()
     order = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    order[places[there].astype(np.int64)] = np.log2(counts[there])
-    entries, digests = int(counts[~there].sum()), int(counts[there].sum())
-    buckets = min(MOST_BUCKETS, max(1, -(-(entries + 3 * digests) // BUCKET_PRINTS)))
-    return Segment(number, entries, buckets, order)
+    order[counted.column(0).to_numpy()] = np.log2(counted.column(1).to_numpy())
+    return order
 
 
-def batch_prints(units: DataFrame, own: Segment, stored: list[Segment]) -> DataFrame:
-    """Fingerprints of units: of the batch itself (segment 0, fp and probe) and to look up in each stored segment."""
+def batch_prints(units: DataFrame, stored: list[Segment]) -> DataFrame:
+    """Fingerprints of units: of the batch itself (segment 0, fp and probe) and to look up in each stored segment.
+
+    Among itself the batch takes the order of the largest segment; the first
+    batch counts its own digests.
+    """
     spark = units.sparkSession
-    orders = [(s.number, s.shared(spark), s.buckets) for s in (own, *stored)]
+    orders = [(s.number, s.shared(spark), s.buckets) for s in stored]
+    own = orders[0][1] if stored else spark.sparkContext.broadcast(count_order(units))
+    orders.insert(0, (0, own, 1))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,15 +241,15 @@ class Store:
         last = rows.agg(F.max("version")).first()[0]
         held = sorted(rows.where(F.col("version") == last).collect(), key=lambda r: r["place"])
         segments = [
-            Segment(r["segment"], r["entries"], r["buckets"], np.frombuffer(zlib.decompress(r["sketch"]), dtype=np.uint8)) for r in held if r["segment"]
+            Segment(r["segment"], r["entries"], r["digests"], r["buckets"], np.frombuffer(zlib.decompress(r["sketch"]), dtype=np.uint8)) for r in held if r["segment"]
         ]
         return cls(spark, path, last, segments)
 
     def commit(self, segments: list[Segment]) -> None:
         """Makes ``segments`` the store, by one new version of the manifest."""
-        rows = [(n, s.number, s.entries, s.buckets, zlib.compress(s.order.tobytes())) for n, s in enumerate(segments)]
-        rows = rows or [(0, 0, 0, 0, b"")]  # nothing accepted yet
-        made = self.spark.createDataFrame(rows, "place int, segment int, entries bigint, buckets int, sketch binary").coalesce(1)
+        rows = [(n, s.number, s.entries, s.digests, s.buckets, zlib.compress(s.order.tobytes())) for n, s in enumerate(segments)]
+        rows = rows or [(0, 0, 0, 0, 0, b"")]  # nothing accepted yet
+        made = self.spark.createDataFrame(rows, "place int, segment int, entries bigint, digests bigint, buckets int, sketch binary").coalesce(1)
         made.write.parquet(f"{self.path}/manifest/version={self.version + 1}")
         self.version, self.segments = self.version + 1, segments
 
@@ -288,19 +290,27 @@ class Store:
         return joined.where(same).select("unit", "id")
 
     def add(self, accepted: DataFrame) -> None:
-        """Adds entries (id, key, digests), with the segments that are not much larger written into the same new one."""
-        size, kept, rows = accepted.count(), list(self.segments), [accepted.select("id", "key", "digests")]
+        """Adds entries (id, key, digests), with the segments that are not much larger written into the same new one.
+
+        A segment that takes in others counts its digests anew; one that holds
+        this batch alone keeps the order of the largest segment.
+        """
+        size, digests = accepted.agg(F.count("*"), F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()
+        kept, rows = list(self.segments), [accepted.select("id", "key", "digests")]
         while size and kept and kept[-1].entries < GROWTH * size:
             old = kept.pop()
             rows.append(self.spark.read.schema(SCHEMAS["entries"]).parquet(f"{self.path}/{old.number}/entries").select("id", "key", "digests"))
-            size += old.entries
+            size, digests = size + old.entries, digests + old.digests
         if size:
-            kept.append(self.write_segment(reduce(DataFrame.unionAll, rows)))
+            merged = reduce(DataFrame.unionAll, rows)
+            order = kept[0].order if kept and len(rows) == 1 else count_order(merged)
+            made = Segment(self.version + 1, size, digests, min(MOST_BUCKETS, -(-(size + 3 * digests) // BUCKET_PRINTS)), order)
+            self.write_segment(made, merged)
+            kept.append(made)
         self.commit(kept)
 
-    def write_segment(self, rows: DataFrame) -> Segment:
-        """A new segment of rows (id, key, digests); its files are not part of the store before ``commit``."""
-        made = planned(self.version + 1, rows)
+    def write_segment(self, made: Segment, rows: DataFrame) -> None:
+        """The files of a new segment of rows (id, key, digests); they are not part of the store before ``commit``."""
         path, number, buckets, order = f"{self.path}/{made.number}", made.number, made.buckets, made.shared(self.spark)
 
         def write(table: DataFrame, name: str) -> None:
@@ -330,7 +340,6 @@ class Store:
         write(prints.hint("rebalance", "part").sortWithinPartitions("part", "fp"), "prints")
         distinct = read("prints").select("part", "fp").distinct()
         write(distinct.groupBy("part").applyInPandas(build, f"{SCHEMAS['filters']}, part int"), "filters")
-        return made
 
 
 def batch_links(prints: DataFrame, units: DataFrame) -> DataFrame:
@@ -389,7 +398,7 @@ def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
     """
     spark, path = store.spark, f"{store.path}/found/version={store.version + 1}"
     units = cut(units_of(prepared))
-    prints = cut(batch_prints(units, planned(0, units), store.segments))
+    prints = cut(batch_prints(units, store.segments))
     reach = batch_links(prints, units).select(F.col("set_a").alias("unit"), F.col("set_b").alias("other"), F.lit(None).cast("bigint").alias("id"))
     if store.segments:
         reach = reach.unionByName(store.lookup(prints, units), allowMissingColumns=True)
