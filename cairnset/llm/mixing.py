@@ -225,18 +225,25 @@ def mix_documents(docs: DataFrame, targets: DataFrame, plan: MixPlan = MixPlan()
 
 
 def mix_shares(mixed: DataFrame, quotas: list[Quota]) -> DataFrame:
-    """Per listed source: weight, tokens there, wanted and used, share wanted among sources with documents, share reached, most uses."""
+    """Per listed source: weight, tokens there, wanted and used, share wanted among sources with documents, share reached, most uses.
+
+    ``largest_shard`` gives the tokens of the largest shard of the whole mixture:
+    more than ``shard_tokens`` where ``most_shards`` makes shards larger.
+    """
     spark = mixed.sparkSession
     whole = sum(q.weight for q in quotas if q.available) or 1.0
     rows = [
         (q.source, q.weight, q.max_repeats, q.docs, q.available, q.tokens, q.weight / whole if q.available else 0.0) for q in quotas
     ]
     names = "source string, weight double, max_repeats int, docs bigint, available bigint, wanted bigint, wanted_share double"
-    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("used"), (F.max("copy_no") + 1).alias("most_uses"))
+    dealt = cut(mixed.groupBy("shard", "source").agg(F.sum("n_tokens").alias("used"), F.max("copy_no").alias("copy_no")))
+    largest = dealt.groupBy("shard").agg(F.sum("used").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    used = dealt.groupBy("source").agg(F.sum("used").alias("used"), (F.max("copy_no") + 1).alias("most_uses"))
     whole_used = F.sum("used").over(W.partitionBy())
     return (
         spark.createDataFrame(rows, names)
         .join(used, "source", "left")
         .na.fill(0, ["used", "most_uses"])
         .withColumn("share", F.when(whole_used > 0, F.col("used") / whole_used).otherwise(0.0))
+        .withColumn("largest_shard", F.lit(largest).cast("bigint"))
     )

@@ -18,6 +18,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The dominance layers that fill the fields, of each group's points: of equal completeness and trust only the most recent claim is one."""
     layers = survivors.dominance_layers(survivors.group_points(*_merge_tables(spark, d)))
     return layers.select("merge_key", "claim_ord", "layer")
 
@@ -87,6 +88,23 @@ SELECT merge_key, field_name, claim_ord FROM vals
 WHERE v <> '' AND lower(v) NOT IN (SELECT term FROM void_terms)
 QUALIFY row_number() OVER (PARTITION BY merge_key, field_name ORDER BY trust DESC, recorded_at DESC NULLS LAST, claim_ord) = 1"""
 
+P2_LAYERS_SQL = P2_SQL[: P2_SQL.index("vals AS (")] + """rated AS (
+  SELECT merge_key, claim_ord, trust, recorded_at, coalesce(weakness <> '' AND lower(weakness) NOT IN (SELECT term FROM void_terms), false) AS w,
+    coalesce(severity <> '' AND lower(severity) NOT IN (SELECT term FROM void_terms), false) AS s,
+    coalesce(title <> '' AND lower(title) NOT IN (SELECT term FROM void_terms), false) AND EXISTS (
+      FROM titles WHERE titles.merge_key = m.merge_key AND t = regexp_replace(m.title, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM members m),
+pts AS (
+  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY merge_key, t, w, s, trust ORDER BY recorded_at DESC NULLS LAST, claim_ord) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY merge_key ORDER BY recorded_at DESC NULLS LAST, claim_ord) AS r FROM pts),
+above AS (
+  SELECT p.merge_key, p.claim_ord, q.claim_ord AS by FROM ranked p JOIN ranked q ON p.merge_key = q.merge_key AND q.r < p.r
+  WHERE q.trust >= p.trust AND q.t >= p.t AND q.w >= p.w AND q.s >= p.s),
+lay AS (
+  SELECT merge_key, claim_ord, 1 AS layer FROM pts
+  UNION SELECT a.merge_key, a.claim_ord, layer + 1 FROM lay l JOIN above a ON a.merge_key = l.merge_key AND a.by = l.claim_ord)
+SELECT merge_key, claim_ord, max(layer) AS layer FROM lay GROUP BY ALL"""
+P2_LAYERS_SQL = P2_LAYERS_SQL.replace("WITH ids", "WITH RECURSIVE ids", 1)
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_layers": p2_layers,
@@ -110,4 +128,4 @@ n AS (SELECT claim_ord, count(*) AS n FROM s GROUP BY claim_ord),
 c AS (SELECT a.claim_ord AS x, b.claim_ord AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.claim_ord < b.claim_ord GROUP BY ALL)
 SELECT x AS claim_ord_a, y AS claim_ord_b FROM c JOIN n p ON p.claim_ord = x JOIN n q ON q.claim_ord = y WHERE 2 * k >= p.n + q.n - k"""
 
-SQL: dict[str, str] = {"p2_found": P2_SQL, "p3_found": P3_SQL}
+SQL: dict[str, str] = {"p2_found": P2_SQL, "p2_layers": P2_LAYERS_SQL, "p3_found": P3_SQL}

@@ -19,6 +19,7 @@ OVERLAP = 64
 
 #: Strength of a boundary, strongest first.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 5, 4, 3, 2, 1, 0
+UNSPLIT = "unsplit"  #: boundary of a text that could not be cut within the limit
 NAMES = {5: "paragraph", 4: "line", 3: "sentence", 2: "clause", 1: "word", 0: "inside"}
 SENTENCE_ENDS = (".", "!", "?", "。", "！", "？", "…", '."', ".)")
 CLAUSE_ENDS = (",", ";", ":", "、", "，", "；", "：", ")", "]", "}")
@@ -131,7 +132,8 @@ def split_text(text: str, encoder: Encoder, limit: int = LIMIT, overlap: int = O
     number of pieces that can hold the text with the overlap is tried first,
     with targets at equal distances; each cut goes to the strongest boundary
     near its target, each next start to the strongest near ``overlap`` tokens
-    before it. Where a limit fails, one more piece is tried.
+    before it. Where a limit fails, one more piece is tried. A text that no number
+    of pieces brings within the limit is one piece with the boundary UNSPLIT.
     """
     units = Units.of(text, encoder, max(1, min(overlap, (limit - overlap) // 4)))
     total, n = units.tokens[-1], len(units.words)
@@ -146,7 +148,7 @@ def split_text(text: str, encoder: Encoder, limit: int = LIMIT, overlap: int = O
         if made:
             return made
         count += 1
-    raise ValueError(f"no split within {limit} tokens")
+    return [Piece(0, len(text), encoder.count(text), 0, UNSPLIT)]
 
 
 def finish(units: Units, cuts: list[tuple[int, int]], encoder: Encoder, limit: int) -> list[Piece] | None:
@@ -216,4 +218,4 @@ def oversized(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: i
     tokenizing and are left out before Python.
     """
     long = df.where(F.octet_length(F.col(text)) > limit)
-    return split_texts(long, key, text, limit, overlap).where("piece_no = 1").select(key)
+    return split_texts(long, key, text, limit, overlap).where(f"piece_no = 1 OR boundary = '{UNSPLIT}'").select(key)

@@ -67,3 +67,13 @@ def test_no_count_of_pieces_is_skipped(monkeypatch):
     monkeypatch.setattr(splitting, "place_cuts", lambda u, count, *a: tried.append(count) or (plain(u, count, *a) if len(tried) > 5 else None))
     check("word and more. " * 800, 32, 8)
     assert tried[0] >= 100 and tried == list(range(tried[0], tried[0] + len(tried)))
+
+
+def test_a_text_that_cannot_be_split_is_one_marked_piece(spark, monkeypatch):
+    text = "word " * 400
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(splitting, "finish", lambda *a: None)
+        pieces = splitting.split_text(text, ENCODER, 64, 8)
+    assert [(p.start, p.end, p.boundary, p.n_tokens) for p in pieces] == [(0, len(text), splitting.UNSPLIT, ENCODER.count(text))]
+    assert splitting.oversized(df, "doc_id", "text", 64, 8).count() == 1
