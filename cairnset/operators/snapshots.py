@@ -54,13 +54,14 @@ def current_rows(df: DataFrame, snapshot: str, key: str, order: str, keep: list[
 def member_set_state(members: DataFrame, owner: str, member: Column) -> DataFrame:
     """Per owner an order-free state of the set of its non-null members.
 
-    Members travel as two 64-bit hashes. Repeats vanish in a first aggregation
+    Members travel as two 64-bit hashes, of which the second reads the member from
+    another start, so members that agree in one differ in the other. Repeats vanish in a first aggregation
     on (owner, member), which also spreads an owner with very many members.
     """
     hashed = (
         members.select(owner, member.alias("_m"))
         .where(F.col("_m").isNotNull() & F.col(owner).isNotNull())
-        .select(owner, F.xxhash64("_m").alias("_x"), F.xxhash64("_m", F.lit(1)).alias("_y"))
+        .select(owner, F.xxhash64("_m").alias("_x"), F.xxhash64(F.lit(1), "_m").alias("_y"))
     )
     return (
         hashed.distinct()
