@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cairnset.functions.digest import strip_blanks
 
 VARIANT_ARRAY = "array<variant>"
-LARGE_DOCUMENT = 16_000_000  #: a longer document is taken apart before it becomes VARIANTs
+LARGE_DOCUMENT = 16_000_000  #: a document of more bytes is taken apart before it becomes VARIANTs
 LARGEST_ELEMENT = 100_000_000  #: bytes of an element, without the elements of tables below it, that a VARIANT holds for certain
 LONG_STRINGS = {"maxStringLen": "2000000000"}
 
@@ -210,13 +210,13 @@ def large_elements(df: DataFrame, keys: list[str], payload: str, tables: list[No
         return pa.RecordBatch.from_arrays([*own, *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=[*keys, *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    large = df.where(F.length(payload) > LARGE_DOCUMENT)
+    large = df.where(F.octet_length(payload) > LARGE_DOCUMENT)
     return large.select(*keys, payload).mapInArrow(split, f"{schema}, {ELEMENT_SCHEMA}")
 
 
 def rejected_documents(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable]) -> DataFrame:
     """Keys and ``reason`` of documents that give no rows, or not all: null, not valid JSON, no object on top, an element too large."""
-    small = df.where(F.length(payload).isNull() | (F.length(payload) <= LARGE_DOCUMENT))
+    small = df.where(F.col(payload).isNull() | (F.octet_length(payload) <= LARGE_DOCUMENT))
     roots = parse_documents(small.select(*keys, F.col(payload).alias("_p")), [*keys, "_p"], "_p")
     reason = (
         F.when(F.col("_p").isNull(), "null").when(F.col("node").isNull(), "not valid JSON as a whole").when(~is_object(F.col("node")), "no object on top")
@@ -230,10 +230,10 @@ def shred(df: DataFrame, keys: list[str], payload: str, tables: list[NodeTable])
 
     ``node`` keeps the element itself for further projection. Elements of an
     unexpected type keep their position and give null fields. ``tables`` must
-    list parents before children. In documents beyond LARGE_DOCUMENT characters
+    list parents before children. In documents of more than LARGE_DOCUMENT bytes
     ``node`` is without the members that lead to tables below.
     """
-    small = df.where(F.length(payload) <= LARGE_DOCUMENT)
+    small = df.where(F.octet_length(payload) <= LARGE_DOCUMENT)
     made: dict[str | None, DataFrame] = {None: parse_documents(small, keys, payload)}
     split = large_elements(df, keys, payload, tables)
     parsed = F.from_json("node", "variant", LONG_STRINGS)
