@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import blank_to_null
+from cairnset.session import fits_broadcast
 
 FIELDS = ["title", "weakness", "severity"]
 
@@ -54,15 +55,15 @@ def usable(c: Column, void: list[str]) -> Column:
 
 def rated_claims(claims: DataFrame, tools: DataFrame, void: list[str]) -> DataFrame:
     """Claims with usable values, trust (0 where unknown), recency and number."""
-    rows = tools.select(F.lower(blank_to_null(F.col("tool"))).alias("t"), "trust").where("t IS NOT NULL")
-    trust = rows.groupBy("t").agg(F.max("trust").alias("trust")).limit(MOST_TERMS + 1).collect()
-    if len(trust) > MOST_TERMS:
+    rows = tools.select(F.lower(blank_to_null(F.col("tool"))).alias("t"), F.col("trust").alias("known")).where("t IS NOT NULL")
+    trust = rows.groupBy("t").agg(F.max("known").alias("known"))
+    if not fits_broadcast(trust, MOST_TERMS):
         raise ValueError(f"tools: more than {MOST_TERMS} rows")
-    pairs = [F.lit(x) for t, v in trust for x in (t, int(v or 0))]
-    known = F.create_map(*pairs)[F.lower(blank_to_null(F.col("tool")))] if pairs else F.lit(0)
-    return claims.where("claim_id IS NOT NULL AND claim_ord IS NOT NULL").select(
+    read = ["claim_id", "claim_ord", "recorded_at", "title", "weakness", "severity"]
+    named = claims.where("claim_id IS NOT NULL AND claim_ord IS NOT NULL").select(*read, F.lower(blank_to_null(F.col("tool"))).alias("t"))
+    return named.join(F.broadcast(trust), "t", "left").select(
         "claim_id",
-        F.coalesce(known, F.lit(0)).alias("trust"),
+        F.coalesce("known", F.lit(0)).alias("trust"),
         F.struct(F.col("recorded_at").alias("at"), (-F.col("claim_ord")).alias("no")).alias("recency"),
         squeeze(usable(F.col("title"), void)).alias("title"),
         usable(F.col("weakness"), void).isNotNull().alias("has_weakness"),
