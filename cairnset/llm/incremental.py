@@ -36,12 +36,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.functions.digest import canonical_digest
-from cairnset.session import cut, scratch_path
+from cairnset.session import cut, cut_noting, scratch_path, write_file
 
 EXACT_SIZES = 16  #: sets of more digests are grouped by size, each group a quarter larger than the one before
 SKETCH_BITS = 20  #: the count sketch of a segment has so many bits of a digest as places, one byte each
@@ -147,12 +148,12 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def units_of(prepared: DataFrame) -> DataFrame:
-    """Distinct units of entries: keys (with null digests) and digest sets."""
+def units_of(prepared: DataFrame, *within: str) -> DataFrame:
+    """Distinct units of entries, by the columns ``within``: keys (with null digests) and digest sets."""
     none = F.lit(None).cast("array<string>")
     both = F.array(F.struct(F.col("key").alias("unit"), none.alias("digests")), F.struct(F.col("set_id").alias("unit"), F.col("digests")))
-    rows = prepared.select(F.explode(both).alias("u")).select("u.*").where("unit IS NOT NULL")
-    return rows.groupBy("unit").agg(F.any_value("digests").alias("digests"))
+    rows = prepared.select(*within, F.explode(both).alias("u")).select(*within, "u.*").where("unit IS NOT NULL")
+    return rows.groupBy(*within, "unit").agg(F.any_value("digests").alias("digests"))
 
 
 @dataclass
@@ -218,11 +219,19 @@ def covers(x: Column, y: Column) -> Column:
     return 3 * F.size(F.array_intersect(x, y)) >= F.size(x) + F.size(y)
 
 
+def parts_of(segment: str, part: str) -> Column:
+    """The distinct (segment, part) of the rows with a segment, as an aggregate: at most as many as there are buckets."""
+    return F.collect_set(F.when(F.col(segment) > 0, F.col(segment).cast("bigint") * MOST_BUCKETS + F.col(part)))
+
+
 SCHEMAS = {
     "prints": "segment int, fp bigint, id bigint, home int",
     "entries": "id bigint, key binary, digests array<string>",
     "filters": "segment int, bucket int, bits binary",
 }
+MANIFEST = pa.schema(
+    [("place", pa.int32()), ("segment", pa.int32()), ("entries", pa.int64()), ("digests", pa.int64()), ("buckets", pa.int32()), ("sketch", pa.binary())]
+)
 
 
 @dataclass
@@ -249,19 +258,20 @@ class Store:
         """Makes ``segments`` the store, by one new version of the manifest."""
         rows = [(n, s.number, s.entries, s.digests, s.buckets, zlib.compress(s.order.tobytes())) for n, s in enumerate(segments)]
         rows = rows or [(0, 0, 0, 0, 0, b"")]  # nothing accepted yet
-        made = self.spark.createDataFrame(rows, "place int, segment int, entries bigint, digests bigint, buckets int, sketch binary").coalesce(1)
-        made.write.parquet(f"{self.path}/manifest/version={self.version + 1}")
+        made = pa.BufferOutputStream()
+        pq.write_table(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), MANIFEST.types)], schema=MANIFEST), made)
+        write_file(self.spark, f"{self.path}/manifest/version={self.version + 1}/segments.parquet", made.getvalue().to_pybytes())
         self.version, self.segments = self.version + 1, segments
 
-    def read(self, name: str, parts: DataFrame) -> DataFrame:
-        """The rows of the (segment, part) pairs in ``parts``, at most as many as there are buckets."""
-        paths = [f"{self.path}/{s}/{name}/part={k}" for s, k in sorted(tuple(r) for r in parts.distinct().collect())]
+    def read(self, name: str, parts: list[int]) -> DataFrame:
+        """The rows of ``parts`` as parts_of() gives them."""
+        paths = [f"{self.path}/{p // MOST_BUCKETS}/{name}/part={p % MOST_BUCKETS}" for p in sorted(parts)]
         return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def screen(self, prints: DataFrame) -> DataFrame:
-        """The distinct (segment, bucket, probe) that the bucket's Bloom filter may hold."""
+    def screen(self, prints: DataFrame, parts: list[int] | None = None) -> DataFrame:
+        """The distinct (segment, bucket, probe) that the bucket's Bloom filter may hold; ``parts`` of prints, where they are known."""
         probes = prints.where("segment > 0").select("segment", "bucket", "probe")
-        filters = self.read("filters", probes.select("segment", "bucket"))
+        filters = self.read("filters", probes.agg(parts_of("segment", "bucket")).first()[0] if parts is None else parts)
 
         def test(mine: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
             if mine.empty or filters.empty:
@@ -273,29 +283,28 @@ class Store:
         keys = ["segment", "bucket"]
         return probes.distinct().groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInPandas(test, "segment int, bucket int, probe bigint")
 
-    def lookup(self, prints: DataFrame, units: DataFrame) -> DataFrame:
+    def lookup(self, prints: DataFrame, parts: list[int], units: DataFrame) -> DataFrame:
         """(unit, id): accepted entries that share the key, or cover the set, of a unit.
 
         Only buckets that hold a positive are read, and of the entries only the
         buckets of ids that a positive names.
         """
-        positive = cut(self.screen(prints))
-        there = self.read("prints", positive.select("segment", "bucket"))
+        positive, noted = cut_noting(self.screen(prints, parts), parts=parts_of("segment", "bucket"))
+        there = self.read("prints", noted["parts"])
         probe = ["segment", "probe"]
         hits = there.withColumnRenamed("fp", "probe").join(positive.select(*probe), probe)
-        candidates = cut(prints.join(hits, probe).select("unit", "segment", "home", "id").distinct())
-        held = self.read("entries", candidates.select("segment", "home"))
+        candidates, noted = cut_noting(prints.join(hits, probe).select("unit", "segment", "home", "id").distinct(), parts=parts_of("segment", "home"))
+        held = self.read("entries", noted["parts"])
         joined = candidates.select("unit", "id").join(held, "id").join(units.withColumnRenamed("digests", "mine"), "unit")
         same = F.when(F.col("mine").isNull(), F.col("key") == F.col("unit")).otherwise(covers(F.col("mine"), F.col("digests")))
         return joined.where(same).select("unit", "id")
 
-    def add(self, accepted: DataFrame) -> None:
-        """Adds entries (id, key, digests), with the segments that are not much larger written into the same new one.
+    def add(self, accepted: DataFrame, size: int, digests: int) -> None:
+        """Adds ``size`` entries (id, key, digests), with the segments that are not much larger written into the same new one.
 
         A segment that takes in others counts its digests anew; one that holds
         this batch alone keeps the order of the largest segment.
         """
-        size, digests = accepted.agg(F.count("*"), F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()
         kept, rows = list(self.segments), [accepted.select("id", "key", "digests")]
         while size and kept and kept[-1].entries < GROWTH * size:
             old = kept.pop()
@@ -358,14 +367,16 @@ def contenders(prepared: DataFrame, reach: DataFrame) -> DataFrame:
 
     Of entries with equal key and set only the first can be accepted, and none
     of those that own a unit with a stored ``id`` in ``reach`` (unit, other, id).
+    A unit an entry owns comes once for each set it is linked to, or else once.
     """
     first = prepared.where("key IS NOT NULL OR set_id IS NOT NULL").groupBy("key", "set_id").agg(F.min("entry_id").alias("entry_id"))
+    stored = reach.where("id IS NOT NULL")
+    for unit in ("key", "set_id"):
+        first = first.join(stored.select(F.col("unit").alias(unit)), unit, "left_anti")
     own = first.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL")
-    stopped = own.join(reach.where("id IS NOT NULL").select("unit").distinct(), "unit").select("entry_id").distinct()
-    left = own.join(stopped, "entry_id", "left_anti")
-    linked = reach.where("other IS NOT NULL").select("unit", "other")
-    near = left.join(linked, "unit").select("entry_id", F.col("other").alias("unit"), F.lit(False).alias("own"))
-    return left.withColumn("own", F.lit(True)).unionAll(near)
+    near = own.join(reach.where("other IS NOT NULL").select("unit", "other"), "unit", "left")
+    both = F.array(F.struct("unit", F.lit(True).alias("own")), F.struct(F.col("other").alias("unit"), F.lit(False).alias("own")))
+    return near.select("entry_id", F.explode(both).alias("r")).select("entry_id", "r.*").where("unit IS NOT NULL")
 
 
 def first_come(spark: SparkSession, reached: DataFrame, path: str) -> DataFrame:
@@ -381,31 +392,35 @@ def first_come(spark: SparkSession, reached: DataFrame, path: str) -> DataFrame:
     while True:
         first = left.where("own").groupBy("unit").agg(F.min("entry_id").alias("first"))
         seen = left.join(first, "unit").groupBy("entry_id").agg(F.min("first").alias("before"))
-        seen.write.mode("overwrite").parquet(f"{path}/{number}")
+        waiting = Observation()
+        seen.observe(waiting, F.count_if(F.expr("before < entry_id")).alias("n")).write.mode("overwrite").parquet(f"{path}/{number}")
         state = spark.read.schema("entry_id bigint, before bigint").parquet(f"{path}/{number}")
         won = state.where("before = entry_id").select(F.col("entry_id").alias("before"))
-        if state.where("before < entry_id").join(won, "before", "left_anti").isEmpty():
+        if waiting.get["n"] == 0 or state.where("before < entry_id").join(won, "before", "left_anti").isEmpty():
             return won.select(F.col("before").alias("entry_id"))
         out = state.where("before < entry_id").join(won, "before").select("entry_id")
         left = reached.join(state.select("entry_id").join(out, "entry_id", "left_anti"), "entry_id", "left_semi")
         number += 1
 
 
-def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
-    """Checks a prepared batch against the store, adds what is accepted, and gives (accepted_id, entry_id).
+def accept_batch(store: Store, prepared: DataFrame, units: DataFrame) -> DataFrame:
+    """Checks a prepared batch, with its units, against the store, adds what is accepted, and gives (accepted_id, entry_id).
+
+    What the driver needs to know of a table is noted while that is written:
+    each Spark action less is memory and time of the driver, whatever the size.
 
     A batch that failed on the way has changed nothing and is given again.
     """
     spark, path = store.spark, f"{store.path}/found/version={store.version + 1}"
-    units = cut(units_of(prepared))
-    prints = cut(batch_prints(units, store.segments))
+    prints, noted = cut_noting(batch_prints(units, store.segments), parts=parts_of("segment", "bucket"))
     reach = batch_links(prints, units).select(F.col("set_a").alias("unit"), F.col("set_b").alias("other"), F.lit(None).cast("bigint").alias("id"))
     if store.segments:
-        reach = reach.unionByName(store.lookup(prints, units), allowMissingColumns=True)
+        reach = reach.unionByName(store.lookup(prints, noted["parts"], units), allowMissingColumns=True)
     reach = cut(reach)
     won = first_come(spark, cut(contenders(prepared, reach)), scratch_path(spark, "rounds"))
     unnamed = prepared.where("key IS NULL AND set_id IS NULL").select("entry_id")
-    accepted = cut(prepared.join(won.unionAll(unnamed), "entry_id", "left_semi").select(F.col("entry_id").alias("id"), "key", "set_id", "digests"))
+    kept = prepared.join(won.unionAll(unnamed), "entry_id", "left_semi").select(F.col("entry_id").alias("id"), "key", "set_id", "digests")
+    accepted, sizes = cut_noting(kept, entries=F.count("*"), digests=F.coalesce(F.sum(F.size("digests")), F.lit(0)))
 
     owned = accepted.select("id", F.explode(F.array("key", "set_id")).alias("unit")).where("unit IS NOT NULL").select("unit", "id")
     near = reach.where("other IS NOT NULL").select(F.col("unit").alias("to"), F.col("other").alias("unit")).join(owned, "unit").select("to", "id")
@@ -414,13 +429,14 @@ def accept_batch(store: Store, prepared: DataFrame) -> DataFrame:
     asked = prepared.select("entry_id", F.explode(F.array("key", "set_id")).alias("unit"))
     found = asked.join(hits, "unit").where("stored OR id < entry_id").select(F.col("id").alias("accepted_id"), "entry_id")
     found.distinct().write.mode("overwrite").parquet(path)
-    store.add(accepted)
+    store.add(accepted, sizes["entries"], sizes["digests"])
     return spark.read.schema("accepted_id bigint, entry_id bigint").parquet(path)
 
 
 def add_batch(store: Store, entries: DataFrame) -> DataFrame:
     """One arriving batch of intake entries against an open store: (accepted_id, entry_id)."""
-    return accept_batch(store, cut(prepare(entries).drop("batch_no")))
+    prepared = cut(prepare(entries).drop("batch_no"))
+    return accept_batch(store, prepared, cut(units_of(prepared)))
 
 
 def repeated_entries(entries: DataFrame) -> DataFrame:
@@ -428,16 +444,21 @@ def repeated_entries(entries: DataFrame) -> DataFrame:
 
     A null batch_no comes first. Batches are listed on the driver and taken one
     after the other; each reads only its own rows and what its positives touch.
+    What does not depend on the store, the units of each batch, is made before.
     An empty table gives no rows.
     """
     spark = entries.sparkSession
     path = scratch_path(spark, "intake")
-    ready = prepare(entries)
-    ready.write.partitionBy("batch_no").parquet(f"{path}/prepared")
-    prepared = spark.read.schema(ready.schema).parquet(f"{path}/prepared")
+
+    def by_batch(name: str, rows: DataFrame) -> DataFrame:
+        rows.write.partitionBy("batch_no").parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    prepared = by_batch("prepared", prepare(entries))
+    units = by_batch("units", units_of(prepared, "batch_no"))
     store = Store(spark, f"{path}/store")
     for number in sorted(r[0] for r in prepared.select("batch_no").distinct().collect()):
-        accept_batch(store, prepared.where(F.col("batch_no") == number).drop("batch_no"))
+        accept_batch(store, *(rows.where(F.col("batch_no") == number).drop("batch_no") for rows in (prepared, units)))
     found = [f"{store.path}/found/version={v + 1}" for v in range(store.version)]
     schema = "accepted_id bigint, entry_id bigint"
     return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)

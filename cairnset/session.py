@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "cairnset", **conf: str) -> SparkSession:
@@ -95,6 +95,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_noting(df: DataFrame, **noted: Column) -> tuple[DataFrame, dict]:
+    """Like ``cut``, with the values of the aggregates ``noted`` over its rows, taken while they are written."""
+    seen = Observation()
+    table = cut(df.observe(seen, *(column.alias(name) for name, column in noted.items())))
+    return table, {name: seen.get[name] for name in noted}
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file whole or not at all, without a Spark job; its folder must not be there yet."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files, folder = target.getFileSystem(sc._jsc.hadoopConfiguration()), target.getParent()
+    made = sc._jvm.org.apache.hadoop.fs.Path(folder.getParent(), f"_{uuid.uuid4().hex}")
+    out = files.create(sc._jvm.org.apache.hadoop.fs.Path(made, target.getName()))
+    out.write(data)
+    out.close()
+    if files.exists(folder) or not files.rename(made, folder):
+        files.delete(made, True)
+        raise FileExistsError(f"{folder} is there already")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that an operator keeps."""
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
